@@ -86,6 +86,7 @@ class _Tables:
     codes: dict[bool, np.ndarray] = {}
     space = np.zeros(256, bool)
     space[[0x20, *range(0x09, 0x0E)]] = True
+    punctuation = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
     powers = np.ones(1, _U)
     inverse = np.ones(1, _U)
 
@@ -113,7 +114,8 @@ class _Tables:
 class Words:
     """The words of some rows: starts/ends into data, their hashes, and for row r words first[r]:first[r+1]."""
 
-    def __init__(self, col: pa.Array, lower: bool):
+    def __init__(self, col: pa.Array, lower: bool, bare: bool = False):
+        """bare: words are runs of letters, digits and bytes above ASCII, not what white space leaves."""
         with np.errstate(over="ignore"):
             col = col.fill_null("").cast(pa.large_string())
             offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
@@ -122,7 +124,7 @@ class Words:
             self.data = np.frombuffer(raw, np.uint8)[lo:hi] if raw is not None and hi > lo else np.zeros(0, np.uint8)
             self.offsets = offsets - lo
             n = len(self.data)
-            inside = ~_Tables.space[self.data]
+            inside = ~(_Tables.punctuation if bare else _Tables.space)[self.data]
             head = np.zeros(n + 1, bool)
             head[self.offsets] = True
             before = np.empty(n, bool)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from varloom.llm import chat_format, url_rules
+from varloom.llm import chat_format, fingerprints, html_text, url_rules
 
 
 def queries():
     return {
         "op1_chat_format": chat_format.op1_chat_format,
+        "op3_fingerprints": fingerprints.op3_fingerprints,
+        "op7_html_text": html_text.op7_html_text,
         "op9_url_rules": url_rules.op9_url_rules,
     }
 
