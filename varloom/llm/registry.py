@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from varloom.llm import chat_format, fingerprints, html_text, url_rules
+from varloom.llm import chat_format, decontaminate, fingerprints, html_text, toxicity, url_rules
 
 
 def queries():
     return {
         "op1_chat_format": chat_format.op1_chat_format,
+        "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_fingerprints": fingerprints.op3_fingerprints,
         "op7_html_text": html_text.op7_html_text,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_url_rules": url_rules.op9_url_rules,
     }
 
