@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from varloom.llm import chat_format, decontaminate, fingerprints, html_text, toxicity, url_rules
+from varloom.llm import chat_format, decontaminate, fingerprints, html_text, mixing, toxicity, url_rules
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_chat_format": chat_format.op1_chat_format,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_fingerprints": fingerprints.op3_fingerprints,
+        "op5_mix_sources": mixing.op5_mix_sources,
         "op7_html_text": html_text.op7_html_text,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_url_rules": url_rules.op9_url_rules,
@@ -17,4 +18,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_chat_format": chat_format.SQL, "op9_url_rules": url_rules.SQL}
+    return {"op1_chat_format": chat_format.SQL, "op5_mix_sources": mixing.SQL, "op9_url_rules": url_rules.SQL}

@@ -35,7 +35,9 @@ from varloom.llm.common import _U, Words, _Tables, ints, load, mix, slices
 MAX_TOXIC = 4000
 MAX_CLEAN = 8000
 MAX_LEXICON = 50_000
+#: An entry has to be in this many toxic rows: three, and this share of those used.
 MIN_DOCS = 3
+MIN_SHARE = 0.01
 THRESHOLD = 0.7
 
 #: Signs that stand for letters.
@@ -259,7 +261,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
         sample.mapInArrow(count, "key bigint, bad bigint, good bigint, word string")
         .groupBy("key")
         .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.min("word").alias("word"))
-        .filter(F.col("bad") >= MIN_DOCS)
+        .filter(F.col("bad") >= max(MIN_DOCS, math.ceil(MIN_SHARE * n_toxic)))
         .withColumn("odds", odds)
         .filter("odds > 3")
         .orderBy(F.desc("odds"), "key")
