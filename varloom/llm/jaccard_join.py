@@ -28,15 +28,13 @@ null id is a row, but never names a component of others; an empty table gives no
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import _U, Words, forget, ints, load, mix, slices, written
+from varloom.llm.common import _U, Words, forget, ints, load, mix, slices, tidy, written
 
 SHINGLE = 5
 SIMILAR, OF = 75, 100
@@ -186,12 +184,6 @@ def components(edges: DataFrame, label: str) -> DataFrame:
             return roots
 
 
-def _tidy(spark) -> None:
-    """Lets Spark's cleaner drop the shuffle files of what is written and done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row; component_id is the least id of its component."""
     spark = docs.sparkSession
@@ -206,7 +198,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prefixes = _prefixes(rows, common)
     met = prefixes.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo <> hi")
     matrix = written(prefixes.join(met, "token").select("token", "sig", "n", "lo", "hi"), "jaccard-matrix")
-    _tidy(spark)
+    tidy(spark)
 
     classes = sets.filter("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     hubs = written(
@@ -215,7 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     wanted = classes.join(hubs.select("sig"), "sig", "left_semi")
     texts = written(_packed(rows).join(wanted.select(F.col("rep").alias("id"), "sig", "n"), "id").select("sig", "n", "z").dropDuplicates(["sig"]), "jaccard-texts")
-    _tidy(spark)
+    tidy(spark)
 
     # Groups of similar classes: every class against its hubs.
     stars = hubs.select(F.col("sig").alias("a"), F.explode(F.array_distinct(F.array("h1", "h2", "h3", "h4"))).alias("b")).filter("a <> b")
@@ -225,7 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crossed = member.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("token")
     member = written(member.join(crossed, "token").distinct(), "jaccard-members")
     forget(matrix, hubs)
-    _tidy(spark)
+    tidy(spark)
 
     # The token-group matrix: a class meets the unions of other groups; what meets enough is opened.
     union = member.select("token", F.col("grp").alias("other")).distinct()
@@ -246,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .distinct()
     )
     second = written(_linked(pairs, texts), "jaccard-more-links")
-    _tidy(spark)
+    tidy(spark)
 
     # Groups and what links them; a class outside every link is its own component.
     of_class = groups.withColumnRenamed("node", "sig")
