@@ -31,6 +31,7 @@ BLOCK_ROWS = 1000
 MAX_SOURCES = 100_000
 REPEAT_LIMIT = 4.0
 STEPS = 50
+OUT = ("source", "epoch", "block", "block_rank", "n_tokens")
 
 
 def n_tokens(text: Column) -> Column:
@@ -80,13 +81,15 @@ def exponents(totals: DataFrame, budget: Column, repeat_limit: float | None, tar
 def mix(docs: DataFrame, budget_tokens: int | None = None, repeat_limit: float = REPEAT_LIMIT, target_entropy: float | None = None, seed: int = 0, block_rows: int = BLOCK_ROWS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns, source, epoch, block, block_rank, n_tokens: a row for each time a document is taken.
 
+    A kept column named like one of the last five gives way to it.
+
     The budget is by default as many tokens as docs has.  Order by epoch and
     block_rank gives the mixed order of a source.
     """
     n = 1 + docs.count() // block_rows
-    names = [c for c in keep if c != "source"]
     block = F.pmod(F.conv(F.substring(_hash(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(seed)), 1, 8), 16, 10).cast("long"), F.lit(n))
-    rows = docs.select(*names, *(["doc_id"] if "doc_id" not in names else []), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), n_tokens(F.col("text")).alias("n_tokens")).withColumn("block", block)
+    kept = F.struct(*(c for c in keep if c not in OUT))
+    rows = docs.select(kept.alias("kept"), "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), n_tokens(F.col("text")).alias("n_tokens"), block.alias("block"))
     blocks = written(rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens")), "mix-blocks")
     totals = blocks.groupBy("source").agg(F.sum("block_tokens").alias("tokens"))
     budget = F.col("total") if budget_tokens is None else F.lit(budget_tokens)
@@ -112,7 +115,7 @@ def mix(docs: DataFrame, budget_tokens: int | None = None, repeat_limit: float =
     inner = Window.partitionBy("source", "block").orderBy(_hash(F.col("doc_id"), F.col("epoch"), F.lit(seed)), "doc_id", "n_tokens")
     cut = taken.filter("cut").withColumn("sum", F.sum("n_tokens").over(inner.rowsBetween(Window.unboundedPreceding, 0))).filter("sum <= room").drop("sum")
     out = taken.filter("not cut").unionByName(cut)
-    return out.select(*keep, *([] if "source" in keep else ["source"]), "epoch", "block", "block_rank", "n_tokens")
+    return out.select("kept.*", *OUT)
 
 
 def op5_mix_sources(spark, sf_dir):
