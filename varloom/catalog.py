@@ -284,7 +284,7 @@ def likelihood_normal_fixed(spark, sf_dir):
 _HITS = "h AS (SELECT model, 0.99::DOUBLE AS level, date, -ret > var_99 AS hit FROM fc UNION ALL SELECT model, 0.975::DOUBLE, date, -ret > var_97_5 FROM fc)"
 _XL = lambda x, y: f"(CASE WHEN {x} = 0 THEN 0.0 ELSE {x} * ln({y}) END)"
 _COV = f"""t AS (SELECT *, lag(hit) OVER (PARTITION BY model, level ORDER BY date) AS prev FROM h),
-c AS (SELECT model, level::DOUBLE AS level, CASE WHEN level > 0.98 THEN {A99!r} ELSE {A975!r} END AS a, count(*) AS n, count(*) FILTER (hit) AS exceptions, count(*) FILTER (NOT prev AND NOT hit) AS n00, count(*) FILTER (NOT prev AND hit) AS n01, count(*) FILTER (prev AND NOT hit) AS n10, count(*) FILTER (prev AND hit) AS n11 FROM t GROUP BY ALL),
+c AS (SELECT model, level::DOUBLE AS level, (CASE WHEN level > 0.98 THEN {A99!r} ELSE {A975!r} END)::DOUBLE AS a, count(*) AS n, count(*) FILTER (hit) AS exceptions, count(*) FILTER (NOT prev AND NOT hit) AS n00, count(*) FILTER (NOT prev AND hit) AS n01, count(*) FILTER (prev AND NOT hit) AS n10, count(*) FILTER (prev AND hit) AS n11 FROM t GROUP BY ALL),
 r AS (SELECT *, exceptions / n AS rate, CASE WHEN n00 + n01 = 0 THEN 0.0 ELSE n01 / (n00 + n01) END AS pi01, CASE WHEN n10 + n11 = 0 THEN 0.0 ELSE n11 / (n10 + n11) END AS pi11, (n01 + n11) / (n00 + n01 + n10 + n11) AS pi FROM c),
 l AS (SELECT *, greatest(2 * ({_XL('exceptions', 'rate')} + {_XL('(n - exceptions)', '(1 - rate)')} - exceptions * ln(a) - (n - exceptions) * ln(1 - a)), 0.0) AS lr_uc,
   greatest(2 * ({_XL('n00', '(1 - pi01)')} + {_XL('n01', 'pi01')} + {_XL('n10', '(1 - pi11)')} + {_XL('n11', 'pi11')} - {_XL('(n00 + n10)', '(1 - pi)')} - {_XL('(n01 + n11)', 'pi')}), 0.0) AS lr_ind FROM r),
