@@ -163,6 +163,22 @@ def op2_decontaminate(spark, sf_dir):
     return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the rows in which an item occurs."""
-    return docs.join(contaminated(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs without the rows in which an item occurs, whatever their ids; no row is shuffled."""
+    sc = docs.sparkSession.sparkContext
+
+    def without(rows: DataFrame, known) -> DataFrame:
+        def run(batches):
+            block = known.value
+            for batch in batches:
+                at = batch.schema.get_field_index("text")
+                for part in slices(batch, "text"):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[f[0] for f in block.match(Words(part.column(at).cast(pa.string()), lower=True, bare=True))]] = False
+                    yield part.filter(pa.array(keep))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    for ids, texts in blocks(items, "item_id", "text", block_words):
+        docs = without(docs, sc.broadcast(Items(ids, texts, rate)))
+    return docs
