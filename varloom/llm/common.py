@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are hashed in slices of about this many bytes, whatever the batch size is.
 SLICE_BYTES = 2 << 20
+#: The setting of rows in an Arrow batch, and how many are sent at once.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 _U = np.uint64
 _MULT = _U(0x9E3779B97F4A7C15)
@@ -47,7 +49,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read again: cuts lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/varloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Long texts: batches of fewer rows bound what a Python worker holds.
+    rows = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(int(rows), BATCH_ROWS)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 

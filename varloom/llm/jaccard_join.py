@@ -10,20 +10,26 @@ copies are never listed.
 2. *Prefixes.*  In one order of all shingles (rare before common, then by hash) the
    first ``n - ceil(0.75 n) + DEPTH`` of a set hold at least ``DEPTH`` shingles of any
    set it links with (all that both share, if fewer).  Only these are shuffled.
-3. *Groups.*  Classes are partitioned into groups of similar ones: each is verified
-   against a few hubs it shares prefix shingles with, linked ones make a group.  A
-   group of any number of near copies becomes one (or few) with one check a member.
+3. *Groups.*  Classes are partitioned by the hub they share most prefix shingles
+   with, a hub being the class of a shingle with the smallest share of rare
+   shingles: the centre of a family of near copies.  Every class is verified against
+   at most three hubs; what links is one component, at one check a member.
 4. *Matrix.*  (shingle, group) rows hold each group's union of prefix shingles.  A
    class's overlap with a group's union bounds its overlap with any member, so
-   only groups with ``DEPTH`` shared shingles are opened; then members that share as
-   many are verified on the whole texts.  Groups that link are merged.
+   only other groups with ``DEPTH`` shared shingles are opened.
+5. *Own group.*  In a crowded group the shingles that no other member has bound a
+   class's overlap with all of them, and so the size of a partner.  Classes for
+   which no partner is left are done; the others, if outside the group's main
+   component, are held against members that share enough prefix shingles.
+6. Pairs that are left, of different components, are verified on the whole texts.
 
 The order of shingles only moves work about: which shingles count as common comes
-from counts over all documents, and at most ``COMMON`` of them are sent to the tasks.
+from counts over all documents, and at most ``2 * COMMON`` of them are sent to the tasks.
 
 Defined results: null and blank texts have an empty set and are linked with
 nothing; fewer than five words are one shingle; equal ids are rows of their own; a
-null id is a row, but never names a component of others; an empty table gives no row.
+null id never names a component, and such a row links through rows of an equal set
+that have an id; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -42,6 +48,10 @@ DEPTH = 6
 COMMON = 1 << 16
 #: A shingle in this many different sets of one slice counts towards the common ones.
 SEEN = 3
+#: A shingle in this many prefixes is common too.
+MANY = 8
+#: A group with this many components is bounded from within before it is opened.
+CROWD = 24
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> list[np.ndarray]:
@@ -93,7 +103,10 @@ def _profiles(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(token, sig, n) for the prefix of every set; common: shingles by rising count."""
+    """(token, sig, n, rare) for the prefix of every set; common: shingles by rising count.
+
+    rare is the share, in thousandths, of a set's shingles that are not common.
+    """
     order = np.argsort(common)
     shared = docs.sparkSession.sparkContext.broadcast((common[order], order.astype(np.int64)))
 
@@ -101,7 +114,7 @@ def _prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
         keys, ranks = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                done, tokens, signs, sizes = set(), [], [], []
+                done, tokens, signs, sizes, shares = set(), [], [], [], []
                 for s in shingle_sets(Words(part.column("text"), lower=True)):
                     n = len(s)
                     sign = signature(s)
@@ -110,19 +123,22 @@ def _prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
                     done.add(sign)
                     least = _least(n)
                     want = n - least + min(DEPTH, least)
+                    share = 1000
                     if len(keys):
                         at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                         hit = keys[at] == s
                         if hit.any():
                             rare = s[~hit]
+                            share = 1000 * len(rare) // n
                             s = rare if len(rare) >= want else np.concatenate((rare, s[hit][np.argsort(ranks[at[hit]], kind="stable")]))
                     tokens.append(s[:want])
                     signs.append(np.full(want, sign, _U))
                     sizes.append(np.full(want, n, np.int32))
+                    shares.append(np.full(want, share, np.int32))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(ints(np.concatenate(tokens))), pa.array(ints(np.concatenate(signs))), pa.array(np.concatenate(sizes))], names=["token", "sig", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ints(np.concatenate(tokens))), pa.array(ints(np.concatenate(signs))), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(shares))], names=["token", "sig", "n", "rare"])
 
-    return docs.select("text").mapInArrow(run, "token bigint, sig bigint, n int")
+    return docs.select("text").mapInArrow(run, "token bigint, sig bigint, n int, rare int")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -184,6 +200,66 @@ def components(edges: DataFrame, label: str) -> DataFrame:
             return roots
 
 
+def _close(a: str, b: str):
+    """Whether the sizes alone allow a link."""
+    return (F.col(a) * OF >= F.col(b) * SIMILAR) & (F.col(b) * OF >= F.col(a) * SIMILAR)
+
+
+def _enough(shared: DataFrame) -> DataFrame:
+    """(a, b) of the (token, a, na, b, nb) rows that share as many prefix shingles as linked sets must."""
+    need = F.least(F.lit(DEPTH), F.ceil(F.greatest("na", "nb") * SIMILAR / OF))
+    counted = shared.groupBy("a", "b", need.alias("need")).agg(F.count(F.lit(1)).alias("shared")).filter("shared >= need")
+    return counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _as(member: DataFrame, k: str, *more: str) -> DataFrame:
+    return member.select("token", F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("grp").alias(f"g{k}"), *more)
+
+
+def _across(member: DataFrame) -> DataFrame:
+    """Candidate pairs of classes of different groups, by the token-group matrix."""
+    union = member.select("token", F.col("fam").alias("other")).distinct()
+    bound = F.least(F.lit(DEPTH), F.ceil(F.col("n") * SIMILAR / OF))
+    opened = member.join(union, "token").filter("fam <> other").groupBy("sig", "n", "other").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= bound).select(F.col("sig").alias("a"), F.col("other").alias("fam"))
+    mine = _as(member, "a").join(opened, "a")
+    return _enough(mine.join(_as(member, "b", "fam"), ["token", "fam"]).filter("ga <> gb").filter(_close("na", "nb")))
+
+
+def _tokens(texts: DataFrame) -> DataFrame:
+    """(fam, token, sig) for every shingle of (fam, sig, z)."""
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                found = shingle_sets(Words(pa.array([unpack(z).decode() for z in part.column("z").to_pylist()], pa.string()), lower=True))
+                at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([part.column("fam").take(pa.array(at)), pa.array(ints(np.concatenate(found))), part.column("sig").take(pa.array(at))], names=["fam", "token", "sig"])
+
+    return texts.select("fam", "sig", "z").mapInArrow(run, "fam bigint, token bigint, sig bigint")
+
+
+def _within(member: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidate pairs of classes of one group and different components of it."""
+    whole = member.select("sig", "n", "grp", "fam").distinct()
+    parts = whole.groupBy("fam", "grp").agg(F.count(F.lit(1)).alias("size"))
+    main = parts.groupBy("fam").agg(F.max_by("grp", F.struct("size", "grp")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    crowd = whole.join(main.filter(F.col("parts") >= CROWD), "fam").select("fam", "sig")
+    # Shingles of one member only are no part of any overlap within the group.
+    lone = _tokens(texts.join(crowd, "sig")).groupBy("fam", "token").agg(F.count(F.lit(1)).alias("c"), F.min("sig").alias("sig")).filter("c = 1").groupBy("sig").agg(F.count(F.lit(1)).alias("lone"))
+    # OF * o >= SIMILAR * (n + m - o), with o at most n - lone, bounds a partner's size m.
+    most = F.floor((F.col("n") - F.coalesce("lone", F.lit(0))) * (OF + SIMILAR) / SIMILAR) - F.col("n")
+    bounded = whole.join(main, "fam").join(lone, "sig", "left").select("fam", "sig", "n", "grp", "main", most.alias("most"))
+    # By group, for every size the largest partner's size: as many entries as there are sizes.
+    sizes = bounded.groupBy("fam", "n").agg(F.max("most").alias("most")).groupBy("fam").agg(F.collect_list(F.struct("n", "most")).alias("sizes"))
+    alive = bounded.join(sizes, "fam").filter(F.exists("sizes", lambda x: (x["n"] <= F.col("most")) & (x["most"] >= F.col("n")))).select("fam", "sig", "main", "most")
+    living = written(member.join(alive, ["fam", "sig"]), "jaccard-living")
+    strays = _as(living.filter("grp <> main"), "a", "fam", F.col("most").alias("ma"))
+    others = _as(living, "b", "fam", F.col("most").alias("mb"))
+    return _enough(strays.join(others, ["token", "fam"]).filter("ga <> gb and nb <= ma and na <= mb").filter(_close("na", "nb")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row; component_id is the least id of its component."""
     spark = docs.sparkSession
@@ -194,49 +270,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     top = counted.orderBy(F.desc("seen"), "token").limit(COMMON).collect()
     common = np.array([r["token"] for r in reversed(top)], np.int64).view(_U)
 
+    # Shingles that many prefixes hold come late in the order, so the counts are taken twice:
+    # with what slices have shown, and with what the first prefixes show.
+    crowded = _prefixes(rows, common).groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= MANY)
+    top = crowded.orderBy(F.desc("c"), "token").limit(COMMON).collect()
+    found = np.array([r["token"] for r in reversed(top)], np.int64).view(_U)
+    common = np.concatenate((found[~np.isin(found, common)], common))
+    tidy(spark)
+
     # Prefix shingles that two classes or more have.
     prefixes = _prefixes(rows, common)
-    met = prefixes.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo <> hi")
-    matrix = written(prefixes.join(met, "token").select("token", "sig", "n", "lo", "hi"), "jaccard-matrix")
+    met = prefixes.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo <> hi").select("token")
+    shared = written(prefixes.join(met, "token"), "jaccard-shared")
+    tidy(spark)
+    # The most central class of each.
+    central = shared.groupBy("token").agg(F.min(F.struct("rare", "sig")).alias("hub")).select("token", F.col("hub.sig").alias("hub"))
+    matrix = written(shared.select("token", "sig", "n").join(central, "token"), "jaccard-matrix")
+    forget(shared)
     tidy(spark)
 
     classes = sets.filter("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    hubs = written(
-        matrix.groupBy("sig").agg(F.min_by("lo", "token").alias("h1"), F.max_by("lo", "token").alias("h2"), F.min("lo").alias("h3"), F.max("hi").alias("h4")),
-        "jaccard-hubs",
-    )
+    hubs = written(matrix.groupBy("sig").agg(F.expr("mode(hub, true)").alias("fam"), F.min_by("hub", "token").alias("h1"), F.max_by("hub", "token").alias("h2")), "jaccard-hubs")
     wanted = classes.join(hubs.select("sig"), "sig", "left_semi")
     texts = written(_packed(rows).join(wanted.select(F.col("rep").alias("id"), "sig", "n"), "id").select("sig", "n", "z").dropDuplicates(["sig"]), "jaccard-texts")
     tidy(spark)
 
-    # Groups of similar classes: every class against its hubs.
-    stars = hubs.select(F.col("sig").alias("a"), F.explode(F.array_distinct(F.array("h1", "h2", "h3", "h4"))).alias("b")).filter("a <> b")
+    stars = hubs.select(F.col("sig").alias("a"), F.explode(F.array_distinct(F.array("fam", "h1", "h2"))).alias("b")).filter("a <> b")
     first = written(_linked(stars, texts), "jaccard-links")
     groups = components(first, "jaccard-groups")
-    member = matrix.select("token", "sig", "n").join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("token", "sig", "n", F.coalesce("root", "sig").alias("grp"))
+    member = matrix.select("token", "sig", "n").join(hubs.select("sig", "fam").join(groups.withColumnRenamed("node", "sig"), "sig", "left"), "sig").select("token", "sig", "n", F.coalesce("root", "sig").alias("grp"), "fam")
     crossed = member.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("token")
     member = written(member.join(crossed, "token").distinct(), "jaccard-members")
     forget(matrix, hubs)
     tidy(spark)
 
-    # The token-group matrix: a class meets the unions of other groups; what meets enough is opened.
-    union = member.select("token", F.col("grp").alias("other")).distinct()
-    least = F.ceil(F.col("n") * SIMILAR / OF)
-    bound = F.least(F.lit(DEPTH), least)
-    met = member.join(union, "token").filter("grp <> other").groupBy("sig", "n", "other").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= bound).select("sig", "other")
-    mine = member.join(met, "sig").select("token", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("other").alias("grp"))
-    theirs = member.select("token", F.col("sig").alias("b"), F.col("n").alias("nb"), "grp")
-    close = (F.col("na") * OF >= F.col("nb") * SIMILAR) & (F.col("nb") * OF >= F.col("na") * SIMILAR)
-    need = F.least(F.lit(DEPTH), F.ceil(F.greatest("na", "nb") * SIMILAR / OF))
-    pairs = (
-        mine.join(theirs, ["token", "grp"])
-        .filter(close)
-        .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("a") < F.col("b")).alias("up"), F.least(need, F.lit(DEPTH)).alias("need"))
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .filter("shared >= need")
-        .select("a", "b")
-        .distinct()
-    )
+    pairs = _across(member).union(_within(member, texts)).distinct()
     second = written(_linked(pairs, texts), "jaccard-more-links")
     tidy(spark)
 
