@@ -8,7 +8,7 @@ one's docs.  All but the last return the columns of documents.
 2. near duplicates: of every component one row, that of the least id, stays.
 3. decontamination: rows in which a benchmark item occurs go.
 4. secrets: every secret is masked in the text, n_chars follows; no row goes.
-5. mixing: temperature mixing; the rows taken, with epoch, block, block_rank and
+5. mixing: temperature mixing; the rows taken, with epoch, block, block_order and
    n_tokens, and the columns of documents.
 """
 

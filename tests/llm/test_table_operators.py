@@ -126,7 +126,7 @@ def test_mix_meets_targets_and_limits(spark):
 def test_epochs_are_permuted_anew(spark):
     rows = [(i, "a b c", "s") for i in range(40)]
     got = mixing.mix(docs(spark, rows), budget_tokens=360, block_rows=5).toPandas()
-    orders = [tuple(got[got.epoch == e].drop_duplicates("block").sort_values("block_rank").block) for e in (1, 2, 3)]
+    orders = [tuple(got[got.epoch == e].drop_duplicates("block").sort_values("block_order").block) for e in (1, 2, 3)]
     assert len(set(orders)) == 3 and len({frozenset(o) for o in orders}) == 1
 
 

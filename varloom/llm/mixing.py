@@ -13,7 +13,8 @@ Scale: rows are dealt to about ``docs / BLOCK_ROWS`` blocks by a hash of the id,
 alike for all sources, so a hot source spreads over many (source, block) groups;
 running sums over blocks see one row for each block, those over rows one block for
 each source.  One row holds an entry for each source during the bisection, so
-the number of sources has to be at most ``MAX_SOURCES``.
+the number of sources has to be at most ``MAX_SOURCES``; that bounds what is
+broadcast (a source's epochs and where its last one ends), and texts are not shuffled.
 
 Defined results: a null source is a source named ''; null and empty texts have
 no tokens and are taken whenever their turn comes; a source without any token has
@@ -31,7 +32,7 @@ BLOCK_ROWS = 1000
 MAX_SOURCES = 100_000
 REPEAT_LIMIT = 4.0
 STEPS = 50
-OUT = ("source", "epoch", "block", "block_rank", "n_tokens")
+OUT = ("source", "epoch", "block", "block_order", "n_tokens")
 
 
 def n_tokens(text: Column) -> Column:
@@ -79,12 +80,12 @@ def exponents(totals: DataFrame, budget: Column, repeat_limit: float | None, tar
 
 
 def mix(docs: DataFrame, budget_tokens: int | None = None, repeat_limit: float = REPEAT_LIMIT, target_entropy: float | None = None, seed: int = 0, block_rows: int = BLOCK_ROWS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns, source, epoch, block, block_rank, n_tokens: a row for each time a document is taken.
+    """keep columns, source, epoch, block, block_order, n_tokens: a row for each time a document is taken.
 
     A kept column named like one of the last five gives way to it.
 
     The budget is by default as many tokens as docs has.  Order by epoch and
-    block_rank gives the mixed order of a source.
+    block_order gives the mixed order of a source.
     """
     n = 1 + docs.count() // block_rows
     block = F.pmod(F.conv(F.substring(_hash(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(seed)), 1, 8), 16, 10).cast("long"), F.lit(n))
@@ -100,22 +101,32 @@ def mix(docs: DataFrame, budget_tokens: int | None = None, repeat_limit: float =
         .withColumn("rest", F.col("target") - F.col("full") * F.col("tokens"))
         .select("source", "full", "rest")
     )
-    last = F.col("epoch") > F.col("full")
-    order = Window.partitionBy("source", "epoch").orderBy(_hash(F.col("source"), F.col("epoch"), F.col("block"), F.lit(seed)), "block")
-    plan = (
+    order = Window.partitionBy("source").orderBy("block_order", "block").rowsBetween(Window.unboundedPreceding, 0)
+    # The block of the last epoch that crosses the target: those before it are taken whole.
+    cuts = (
         blocks.join(goals, "source")
+        .withColumn("block_order", _turn(F.col("full") + 1, seed))
+        .withColumn("room", F.col("rest") - (F.sum("block_tokens").over(order) - F.col("block_tokens")))
+        .filter(F.col("room") < F.col("block_tokens"))
+        .groupBy("source")
+        .agg(F.first("full").alias("full"), F.min_by(F.struct("block_order", "block", "room"), F.struct("block_order", "block")).alias("at"))
+    )
+    # One row for each of at most MAX_SOURCES sources: broadcast, so that texts stay where they are.
+    taken = (
+        rows.join(F.broadcast(cuts), "source")
         .withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("full") + 1)))
-        .withColumn("block_rank", F.row_number().over(order).cast("long"))
-        .withColumn("room", F.when(last, F.col("rest") - (F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_tokens"))))
-        .withColumn("cut", F.coalesce(F.col("room") < F.col("block_tokens"), F.lit(False)))
-        .filter("room is null or room > 0")
-        .select("source", "block", "epoch", "block_rank", "room", "cut")
+        .withColumn("block_order", _turn(F.col("epoch"), seed))
     )
-    taken = rows.join(plan, ["source", "block"])
-    inner = Window.partitionBy("source", "block").orderBy(_hash(F.col("doc_id"), F.col("epoch"), F.lit(seed)), "doc_id", "n_tokens")
-    cut = taken.filter("cut").withColumn("sum", F.sum("n_tokens").over(inner.rowsBetween(Window.unboundedPreceding, 0))).filter("sum <= room").drop("sum")
-    out = taken.filter("not cut").unionByName(cut)
-    return out.select("kept.*", *OUT)
+    whole = (F.col("epoch") <= F.col("full")) | (F.col("block_order") < F.col("at.block_order"))
+    edge = (F.col("epoch") > F.col("full")) & (F.col("block") == F.col("at.block")) & (F.col("at.room") > 0)
+    inner = Window.partitionBy("source").orderBy(_hash(F.col("doc_id"), F.col("epoch"), F.lit(seed)), "doc_id", "n_tokens")
+    cut = taken.filter(edge).withColumn("sum", F.sum("n_tokens").over(inner.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("sum") <= F.col("at.room")).drop("sum")
+    return taken.filter(whole).unionByName(cut).select("kept.*", *OUT)
+
+
+def _turn(epoch: Column, seed: int) -> Column:
+    """The key that orders a source's blocks in an epoch."""
+    return _hash(F.col("source"), epoch, F.col("block"), F.lit(seed))
 
 
 def op5_mix_sources(spark, sf_dir):
@@ -143,16 +154,19 @@ WITH d AS (
 ), goal AS (
   SELECT source, tokens, floor(pow(tokens::DOUBLE / total, a) / (SELECT list_sum(list_transform(p, lambda x: pow(x, a))) FROM one, walk) * total)::BIGINT AS target FROM t, total, walk
 ), g AS (SELECT source, target // tokens AS full_epochs, target - (target // tokens) * tokens AS rest FROM goal
-), e AS (
-  SELECT source, block, block_tokens, rest, full_epochs, unnest(range(1, full_epochs + 2)) AS epoch FROM b JOIN g USING (source)
 ), o AS (
-  SELECT *, row_number() OVER w AS block_rank, CASE WHEN epoch > full_epochs THEN rest - (sum(block_tokens) OVER (w ROWS UNBOUNDED PRECEDING) - block_tokens) END AS room
-  FROM e WINDOW w AS (PARTITION BY source, epoch ORDER BY md5(source || '|' || epoch || '|' || block || '|0'), block)
+  SELECT *, sum(block_tokens) OVER (PARTITION BY source ORDER BY block_order, block ROWS UNBOUNDED PRECEDING) - block_tokens AS before
+  FROM (SELECT source, block, block_tokens, rest, full_epochs, md5(source || '|' || (full_epochs + 1) || '|' || block || '|0') AS block_order FROM b JOIN g USING (source))
 ), k AS (
-  SELECT doc_id, d.source, epoch, d.block, block_rank, n_tokens, room, coalesce(room < block_tokens, false) AS cut
-  FROM d JOIN o ON d.source = o.source AND d.block = o.block WHERE room IS NULL OR room > 0
+  SELECT source, any_value(full_epochs) AS full_epochs, arg_min(block, block_order) AS at_block, min(block_order) AS at_order, arg_min(rest - before, block_order) AS room
+  FROM o WHERE rest - before < block_tokens GROUP BY source
+), t2 AS (
+  SELECT doc_id, source, block, n_tokens, epoch, full_epochs, at_block, at_order, room, md5(source || '|' || epoch || '|' || block || '|0') AS block_order
+  FROM (SELECT d.*, k.* EXCLUDE (source), unnest(range(1, full_epochs + 2)) AS epoch FROM d JOIN k ON k.source = d.source)
 ), c AS (
-  SELECT *, sum(n_tokens) OVER (PARTITION BY source, block, cut ORDER BY md5(doc_id || '|' || epoch || '|0'), doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS s FROM k
+  SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY md5(doc_id || '|' || epoch || '|0'), doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS s
+  FROM t2 WHERE epoch > full_epochs AND block = at_block AND room > 0
 )
-SELECT doc_id, source, epoch::BIGINT AS epoch, block::BIGINT AS block, block_rank::BIGINT AS block_rank, n_tokens FROM c WHERE NOT cut OR s <= room
+SELECT doc_id, source, epoch::BIGINT AS epoch, block::BIGINT AS block, block_order, n_tokens FROM t2 WHERE epoch <= full_epochs OR block_order < at_order
+UNION ALL SELECT doc_id, source, epoch::BIGINT, block::BIGINT, block_order, n_tokens FROM c WHERE s <= room
 """
