@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,25 +80,26 @@ def newey_west_lags(n: int) -> int:
     return int(np.floor(4 * (n / 100) ** (2 / 9)))
 
 
-def diebold_mariano(losses: DataFrame, benchmark: str, max_lags: int = 30) -> DataFrame:
+def diebold_mariano(losses: DataFrame, benchmark: str) -> DataFrame:
     """Mean difference, Newey-West t and p of every model against the benchmark.
 
-    The number of lags follows each series' length; lag products up to max_lags
-    (enough for a million days) come from one window stage.
+    The number of lags follows each series' length.  A series' differences are one
+    array, so that products of any lag need no window of their own; it is bounded
+    by the length of a forecast series.
     """
     keys = ["symbol", "loss", "model"]
-    d = against(losses, benchmark)
-    stats = d.groupBy(*keys).agg(F.avg("diff").alias("mean_diff"), F.count("diff").alias("n"))
-    u = d.join(stats, keys).withColumn("u", F.col("diff") - F.col("mean_diff"))
-    w = Window.partitionBy(*keys).orderBy("date")
-    lags = F.floor(4 * F.pow(F.col("n") / 100, F.lit(2 / 9))).cast("int")
-    prods = u.select(*keys, "n", "mean_diff", *((F.col("u") * F.lag("u", k).over(w)).alias(f"p{k}") if k else (F.col("u") * F.col("u")).alias("p0") for k in range(max_lags + 1)))
-    sums = prods.groupBy(*keys, "n", "mean_diff").agg(*(F.sum(f"p{k}").alias(f"s{k}") for k in range(max_lags + 1))).withColumn("lags", lags)
-    sums = sums.withColumn("lags", F.when(F.col("lags") <= max_lags, F.col("lags")).otherwise(F.raise_error(F.lit("raise max_lags")).cast("int")))
-    weighted = reduce(lambda a, b: a + b, [F.when(F.lit(k) <= F.col("lags"), 2 * (1 - F.lit(k) / (F.col("lags") + 1)) * F.coalesce(F.col(f"s{k}"), F.lit(0.0))).otherwise(0.0) for k in range(1, max_lags + 1)])
-    se = F.sqrt((F.col("s0") + weighted) / F.col("n") / F.col("n"))
-    t = F.when(se > 0, F.col("mean_diff") / se)
-    return sums.select(*keys, "mean_diff", t.alias("t_stat"), two_sided_p(t).alias("p_value"), "lags")
+    days = against(losses, benchmark).filter("diff is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("date", "diff"))).alias("d"), F.avg("diff").alias("mean_diff"), F.count("diff").cast("int").alias("n"))
+    u = days.select(*keys, "mean_diff", "n", F.transform("d", lambda r: r["diff"] - F.col("mean_diff")).alias("u"), F.floor(4 * F.pow(F.col("n") / 100, F.lit(2 / 9))).cast("int").alias("lags"))
+
+    def product(k):
+        pairs = F.zip_with(F.slice("u", k + 1, F.col("n") - k), F.slice("u", F.lit(1), F.col("n") - k), lambda a, b: a * b)
+        return F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v)
+
+    reach = F.least(F.col("lags"), F.col("n") - 1)
+    weighted = F.when(reach >= 1, F.aggregate(F.sequence(F.lit(1), reach), F.lit(0.0), lambda s, k: s + 2 * (1 - k / (F.col("lags") + 1)) * product(k))).otherwise(0.0)
+    se = F.sqrt((product(F.lit(0)) + weighted) / F.col("n") / F.col("n"))
+    out = u.select(*keys, "mean_diff", se.alias("se"), "lags").withColumn("t_stat", F.when(F.col("se") > 0, F.col("mean_diff") / F.col("se")))
+    return out.select(*keys, "mean_diff", "t_stat", two_sided_p(F.col("t_stat")).alias("p_value"), "lags")
 
 
 def model_confidence_set(losses: DataFrame, confidence: float = 0.9, block: float = 10, reps: int = 10_000, seed: int = 0) -> DataFrame:
