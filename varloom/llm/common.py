@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are hashed in slices of about this many bytes, whatever the batch size is.
@@ -87,6 +88,23 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         begin = stop
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(id, z) of (id, text), null texts as empty ones: texts for a shuffle, at two thirds of their size there."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack((t or "").encode()) for t in part.column(1).to_pylist()], pa.binary())], names=["id", "z"])
+
+    return docs.select("id", "text").mapInArrow(run, "id bigint, z binary")
+
+
+def unpacked(col) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(z).decode() for z in col.to_pylist()], pa.large_string())
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64 bits."""
     h = h ^ (h >> _U(30))

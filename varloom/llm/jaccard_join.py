@@ -36,11 +36,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import _U, Words, forget, ints, load, mix, slices, tidy, written
+from varloom.llm.common import _U, Words, forget, ints, load, mix, packed, slices, tidy, unpacked, written
 
 SHINGLE = 5
 SIMILAR, OF = 75, 100
@@ -141,31 +140,20 @@ def _prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token bigint, sig bigint, n int, rare int")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    def run(batches):
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack((t or "").encode()) for t in part.column(1).to_pylist()], pa.binary())], names=["id", "z"])
-
-    return docs.mapInArrow(run, "id bigint, z binary")
-
-
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of the (a, b) pairs of signatures, those whose whole sets link; texts: (sig, n, z)."""
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
         last: tuple = (None, None)
         for batch in batches:
             for begin in range(0, batch.num_rows, 128):
                 part = batch.slice(begin, 128)
                 b_signs = part.column("b").to_pylist()
-                mine = shingle_sets(Words(pa.array([unpack(z).decode() for z in part.column("za").to_pylist()], pa.string()), lower=True))
+                mine = shingle_sets(Words(unpacked(part.column("za")), lower=True))
                 keep = []
-                for x, sign, z in zip(mine, b_signs, part.column("zb"), strict=True):
+                for i, (x, sign) in enumerate(zip(mine, b_signs, strict=True)):
                     if last[0] != sign:
-                        last = (sign, shingle_sets(Words(pa.array([unpack(z.as_py()).decode()], pa.string()), lower=True))[0])
+                        last = (sign, shingle_sets(Words(unpacked(part.column("zb").slice(i, 1)), lower=True))[0])
                     y = last[1]
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(OF * both >= SIMILAR * (len(x) + len(y) - both))
@@ -206,21 +194,38 @@ def _close(a: str, b: str):
 
 
 def _enough(shared: DataFrame) -> DataFrame:
-    """(a, b) of the (token, a, na, b, nb) rows that share as many prefix shingles as linked sets must."""
-    need = F.least(F.lit(DEPTH), F.ceil(F.greatest("na", "nb") * SIMILAR / OF))
+    """(a, b) of the (token, a, na, b, nb) rows that share as many prefix shingles as linked sets must.
+
+    Up to where the first of two prefixes ends, what they do not share neither set
+    shares; so the overlap is at most the shared ones and what lies behind the
+    larger set's prefix, and has to be SIMILAR / (OF + SIMILAR) of both sizes.
+    """
+    least = F.ceil(F.greatest("na", "nb") * SIMILAR / OF)
+    behind = least - F.least(F.lit(DEPTH), least)
+    need = F.greatest(F.least(F.lit(DEPTH), least), F.ceil((F.col("na") + F.col("nb")) * SIMILAR / (OF + SIMILAR)) - behind)
     counted = shared.groupBy("a", "b", need.alias("need")).agg(F.count(F.lit(1)).alias("shared")).filter("shared >= need")
     return counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _pruned(member: DataFrame) -> DataFrame:
+    """member without classes that meet too few shingles of other groups, and shingles of one group."""
+    bound = F.least(F.lit(DEPTH), F.ceil(F.first("n") * SIMILAR / OF))
+    enough = member.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), bound.alias("bound")).filter("c >= bound").select("sig")
+    member = member.join(enough, "sig")
+    crossed = member.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("token")
+    return member.join(crossed, "token")
+
+
 def _as(member: DataFrame, k: str, *more: str) -> DataFrame:
     return member.select("token", F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("grp").alias(f"g{k}"), *more)
 
 
 def _across(member: DataFrame) -> DataFrame:
     """Candidate pairs of classes of different groups, by the token-group matrix."""
-    union = member.select("token", F.col("fam").alias("other")).distinct()
+    union = member.groupBy("token", F.col("fam").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    sized = (F.col("n") * OF >= F.col("low") * SIMILAR) & (F.col("high") * OF >= F.col("n") * SIMILAR)
     bound = F.least(F.lit(DEPTH), F.ceil(F.col("n") * SIMILAR / OF))
-    opened = member.join(union, "token").filter("fam <> other").groupBy("sig", "n", "other").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= bound).select(F.col("sig").alias("a"), F.col("other").alias("fam"))
+    opened = member.join(union, "token").filter("fam <> other").filter(sized).groupBy("sig", "n", "other").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= bound).select(F.col("sig").alias("a"), F.col("other").alias("fam"))
     mine = _as(member, "a").join(opened, "a")
     return _enough(mine.join(_as(member, "b", "fam"), ["token", "fam"]).filter("ga <> gb").filter(_close("na", "nb")))
 
@@ -229,11 +234,10 @@ def _tokens(texts: DataFrame) -> DataFrame:
     """(fam, token, sig) for every shingle of (fam, sig, z)."""
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                found = shingle_sets(Words(pa.array([unpack(z).decode() for z in part.column("z").to_pylist()], pa.string()), lower=True))
+                found = shingle_sets(Words(unpacked(part.column("z")), lower=True))
                 at = np.repeat(np.arange(len(found)), [len(x) for x in found])
                 yield pa.RecordBatch.from_arrays([part.column("fam").take(pa.array(at)), pa.array(ints(np.concatenate(found))), part.column("sig").take(pa.array(at))], names=["fam", "token", "sig"])
 
@@ -292,15 +296,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sets.filter("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     hubs = written(matrix.groupBy("sig").agg(F.expr("mode(hub, true)").alias("fam"), F.min_by("hub", "token").alias("h1"), F.max_by("hub", "token").alias("h2")), "jaccard-hubs")
     wanted = classes.join(hubs.select("sig"), "sig", "left_semi")
-    texts = written(_packed(rows).join(wanted.select(F.col("rep").alias("id"), "sig", "n"), "id").select("sig", "n", "z").dropDuplicates(["sig"]), "jaccard-texts")
+    texts = written(packed(rows).join(wanted.select(F.col("rep").alias("id"), "sig", "n"), "id").select("sig", "n", "z").dropDuplicates(["sig"]), "jaccard-texts")
     tidy(spark)
 
     stars = hubs.select(F.col("sig").alias("a"), F.explode(F.array_distinct(F.array("fam", "h1", "h2"))).alias("b")).filter("a <> b")
     first = written(_linked(stars, texts), "jaccard-links")
     groups = components(first, "jaccard-groups")
-    member = matrix.select("token", "sig", "n").join(hubs.select("sig", "fam").join(groups.withColumnRenamed("node", "sig"), "sig", "left"), "sig").select("token", "sig", "n", F.coalesce("root", "sig").alias("grp"), "fam")
+    # Hubs of one component stand for one group.
+    of_hub = groups.select(F.col("node").alias("fam"), F.col("root").alias("hub_root"))
+    placed = hubs.select("sig", "fam").join(of_hub, "fam", "left").select("sig", F.coalesce("hub_root", "fam").alias("fam")).join(groups.withColumnRenamed("node", "sig"), "sig", "left")
+    member = matrix.select("token", "sig", "n").join(placed, "sig").select("token", "sig", "n", F.coalesce("root", "sig").alias("grp"), "fam")
     crossed = member.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("token")
-    member = written(member.join(crossed, "token").distinct(), "jaccard-members")
+    member = written(_pruned(_pruned(member.join(crossed, "token").distinct())), "jaccard-members")
     forget(matrix, hubs)
     tidy(spark)
 

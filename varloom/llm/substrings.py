@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import _U, Words, load, tidy, written
+from varloom.llm.common import _U, Words, load, packed, tidy, unpacked, written
 
 SIZE = 13
 #: A perfect difference set: every difference modulo 7 is one of two members.
@@ -54,7 +54,7 @@ class _Chunk:
         table = table.take(pa.array(order))
         self.ids = ids[order]
         self.out_ids = table.column("id").combine_chunks()
-        self.words = Words(table.column("text").combine_chunks(), lower=False)
+        self.words = Words(unpacked(table.column("z")), lower=False)
         self.rows = self.words.rows()
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +130,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     chunks, parts = 1 + total // CHUNK_BYTES, 1 + total // PART_BYTES
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(13)), F.lit(chunks)).cast("long")).groupBy("chunk")
+    dealt = packed(rows).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(13)), F.lit(chunks)).cast("long")).groupBy("chunk")
 
     def send_anchors(key, table):
         anchors, is_anchor = _Chunk(table).anchors(size)
