@@ -193,6 +193,13 @@ def _close(a: str, b: str):
     return (F.col(a) * OF >= F.col(b) * SIMILAR) & (F.col(b) * OF >= F.col(a) * SIMILAR)
 
 
+def _need(n, m):
+    """How many prefix shingles linked sets of n and m shingles share at least."""
+    least = F.ceil(F.greatest(n, m) * SIMILAR / OF)
+    behind = least - F.least(F.lit(DEPTH), least)
+    return F.greatest(F.least(F.lit(DEPTH), least), F.ceil((n + m) * SIMILAR / (OF + SIMILAR)) - behind)
+
+
 def _enough(shared: DataFrame) -> DataFrame:
     """(a, b) of the (token, a, na, b, nb) rows that share as many prefix shingles as linked sets must.
 
@@ -200,10 +207,7 @@ def _enough(shared: DataFrame) -> DataFrame:
     shares; so the overlap is at most the shared ones and what lies behind the
     larger set's prefix, and has to be SIMILAR / (OF + SIMILAR) of both sizes.
     """
-    least = F.ceil(F.greatest("na", "nb") * SIMILAR / OF)
-    behind = least - F.least(F.lit(DEPTH), least)
-    need = F.greatest(F.least(F.lit(DEPTH), least), F.ceil((F.col("na") + F.col("nb")) * SIMILAR / (OF + SIMILAR)) - behind)
-    counted = shared.groupBy("a", "b", need.alias("need")).agg(F.count(F.lit(1)).alias("shared")).filter("shared >= need")
+    counted = shared.groupBy("a", "b", _need(F.col("na"), F.col("nb")).alias("need")).agg(F.count(F.lit(1)).alias("shared")).filter("shared >= need")
     return counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -224,8 +228,12 @@ def _across(member: DataFrame) -> DataFrame:
     """Candidate pairs of classes of different groups, by the token-group matrix."""
     union = member.groupBy("token", F.col("fam").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     sized = (F.col("n") * OF >= F.col("low") * SIMILAR) & (F.col("high") * OF >= F.col("n") * SIMILAR)
-    bound = F.least(F.lit(DEPTH), F.ceil(F.col("n") * SIMILAR / OF))
-    opened = member.join(union, "token").filter("fam <> other").filter(sized).groupBy("sig", "n", "other").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= bound).select(F.col("sig").alias("a"), F.col("other").alias("fam"))
+    met = member.join(union, "token").filter("fam <> other").filter(sized).groupBy("sig", "n", "other").agg(F.count(F.lit(1)).alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # What a pair has to share rises with the partner's size up to n and falls beyond it, but for
+    # rounding: over a group's range of sizes it is least at an end.
+    ends = (F.greatest(F.col("low"), F.ceil(F.col("n") * SIMILAR / OF)), F.least(F.col("high"), F.floor(F.col("n") * OF / SIMILAR)))
+    bound = F.greatest(F.least(F.lit(DEPTH), F.ceil(F.col("n") * SIMILAR / OF)), F.least(*(_need(F.col("n"), m) for m in ends)) - 2)
+    opened = met.filter(F.col("shared") >= bound).select(F.col("sig").alias("a"), F.col("other").alias("fam"))
     mine = _as(member, "a").join(opened, "a")
     return _enough(mine.join(_as(member, "b", "fam"), ["token", "fam"]).filter("ga <> gb").filter(_close("na", "nb")))
 
