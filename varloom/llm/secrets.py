@@ -93,7 +93,7 @@ def features(value: str, before: str, after: str) -> list[float]:
     ]
 
 
-_VALUE = re.compile(r"([A-Za-z][\w.-]*[\"']?\s*(?:=>|:=|==|=|:)\s*[\"'`]?)?([^\s\"'`,;()<>\[\]{}]+)")
+_VALUE = re.compile(r"([A-Za-z][\w.-]*[\"']?\s*(?:=>|:=|==|=|:)\s*[\"'`]?)?((?:(?!&[A-Za-z][\w.-]*=)[^\s\"'`,;()<>\[\]{}])+)")
 
 
 def candidates(text: str, begin: int, end: int) -> list[tuple[int, int]]:
@@ -102,17 +102,22 @@ def candidates(text: str, begin: int, end: int) -> list[tuple[int, int]]:
     if word.startswith("-----BEGIN"):
         m = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:.*?-----END [A-Z ]*PRIVATE KEY-----)?", re.S).match(text, begin)
         return [m.span()] if m else []
-    found = [m.span() for m in SHAPES.finditer(text, begin, end)]
+    shapes = [m.span() for m in SHAPES.finditer(text, begin, end)]
+    found = list(shapes)
     for m in _VALUE.finditer(text, begin, end):
-        a, b = m.span(2)
-        while b > a and text[b - 1] in ".:!?&*%#$":
-            b -= 1
-        if not m[1] and "=" in text[a:b].rstrip("="):
-            a += text[a:b].index("=") + 1
-        asked = m[1] or re.search(r"(?:=|:)\s*[\"'`]?$", text[max(0, a - 12) : a])
-        if b - a >= (8 if asked else 16) and any(c.isdigit() for c in text[a:b]) and not any(x <= a < y or a <= x < b for x, y in found):
-            found.append((a, b))
-    return found
+        # What stands before, between and after known shapes is looked at by itself.
+        inside = [(x, y) for x, y in shapes if m.start(2) < y and x < m.end(2)]
+        edges = [m.start(2), *(e for span in inside for e in span), m.end(2)]
+        for i, (a, b) in enumerate(zip(edges[::2], edges[1::2])):
+            name = m[1] if not i else None
+            while b > a and text[b - 1] in ".:!?&*%#$":
+                b -= 1
+            if not name and "=" in text[a:b].rstrip("="):
+                a += text[a:b].index("=") + 1
+            asked = name or re.search(r"(?:=|:)\s*[\"'`]?$", text[max(0, a - 12) : a])
+            if b - a >= (8 if asked else 16) and any(c.isdigit() for c in text[a:b]):
+                found.append((a, b))
+    return sorted(found)
 
 
 def labelled_findings(n: int = FINDINGS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -276,7 +281,7 @@ def find(col: pa.Array, forest: Forest) -> list[tuple[int, int, int, float]]:
         return []
     scores = forest.score(np.array(x))
     out, last = [], (-1, -1)
-    for (row, begin, end, value), score in zip(spans, scores.tolist(), strict=True):
+    for (row, begin, end, value), score in sorted(zip(spans, scores.tolist(), strict=True)):
         if value.startswith("-----BEGIN"):
             score = 1.0
         if row == last[0] and begin < last[1]:
