@@ -51,3 +51,24 @@ def test_entry_point_lists_the_catalog():
     assert set(catalog.queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert os.path.exists(f"{SF}/lineitem.parquet")
+
+
+@pytest.mark.parametrize("name", ["garch_rolling_forecasts", "garch_refits", "garch_rolling_summary", "midas_forecasts"])
+def test_rolling_queries_refit_as_often_as_the_operators(monkeypatch, name):
+    """What the queries ask for; the fits themselves take minutes."""
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def seen(_, settings, *args, **kwargs):
+        asked.append((settings.window, settings.refit_every))
+        raise Asked
+
+    monkeypatch.setattr(catalog.views, "ret_daily", lambda *_: None)
+    monkeypatch.setattr(catalog, "_lagged", lambda *_: None)
+    monkeypatch.setattr(catalog.forecasts, "refits", seen)
+    monkeypatch.setattr(catalog.forecasts, "midas_forecasts", seen)
+    with pytest.raises(Asked):
+        catalog.queries()[name](None, SF)
+    assert asked == [(1000, 5)]

@@ -515,14 +515,10 @@ def residual_checks(spark, sf_dir):
     return rounded(stylized.distribution_summary(r, "x").join(stylized.arch_lm(r, "x").select("symbol", F.col("lm").alias("arch_lm"), F.col("p_value").alias("arch_p")), "symbol"))
 
 
-#: Rolling queries refit every 250 days, to keep a full pass over the series short.
-ROLLING = ForecastSettings(window=1000, refit_every=250)
-
-
 def _rolled(spark, sf_dir) -> DataFrame:
     r = views.ret_daily(spark, sf_dir)
-    params = forecasts.refits(r, ROLLING)
-    return forecasts.garch_forecasts(r, ROLLING, params, fhs="GJR-GARCH(1,1)-normal")
+    params = forecasts.refits(r, SETTINGS)
+    return forecasts.garch_forecasts(r, SETTINGS, params, fhs="GJR-GARCH(1,1)-normal")
 
 
 @query("garch_rolling_forecasts")
@@ -532,17 +528,17 @@ def garch_rolling_forecasts(spark, sf_dir):
 
 @query("garch_refits")
 def garch_refits(spark, sf_dir):
-    return forecasts.refit_summary(forecasts.refits(views.ret_daily(spark, sf_dir), ROLLING))
+    return forecasts.refit_summary(forecasts.refits(views.ret_daily(spark, sf_dir), SETTINGS))
 
 
 @query("garch_rolling_summary")
 def garch_rolling_summary(spark, sf_dir):
-    return rounded(forecasts.forecast_summary(_rolled(spark, sf_dir), ROLLING))
+    return rounded(forecasts.forecast_summary(_rolled(spark, sf_dir), SETTINGS))
 
 
 @query("midas_forecasts")
 def midas_forecasts(spark, sf_dir):
-    out, _ = forecasts.midas_forecasts(_lagged(spark, sf_dir), ForecastSettings(window=1000, refit_every=1000), LAGS)
+    out, _ = forecasts.midas_forecasts(_lagged(spark, sf_dir), SETTINGS, LAGS)
     return out
 
 
