@@ -275,6 +275,20 @@ def test_toxicity_learns_and_restores(spark):
     assert toxicity.score(docs(spark, []), scorer).count() == 0
 
 
+@pytest.mark.parametrize("text", [
+    "a 1d107 here", "a 5h17 here", "an idio7 here", "one,two,three,four,five,six,seven,eight,1d10t,nine,ten", "x" * 30 + "1d10t" + "y" * 30, "such an idi" + "o" * 70 + "t here",
+    "y o u a r e i d i o t", "x y i d i o t", "so y o u  a r e  i d i o t s now", "a_very_long_name_of_many_parts_with_1d10t_in_it",
+])
+def test_every_disguise_reaches_the_lattice(text):
+    lexicon, plain = ["idiot", "shit"], "there here you are one two three four five six seven eight nine ten such name many parts long very the not"
+    counts = np.ones((28, 28))
+    codes = toxicity._CODE[np.frombuffer(" ".join([plain, *lexicon] * 50).encode(), np.uint8)]
+    np.add.at(counts, (codes[:-1], codes[1:]), 1)
+    keys = np.unique(toxicity.entries(Words(pa.array(lexicon), lower=True, bare=True))[1])
+    scorer = toxicity.Scorer(keys, np.ones(len(keys)), toxicity.Channel(counts, lexicon), 1.0, 0.0)
+    assert scorer.evidence(pa.array([text, plain])).tolist()[0] > 0 and scorer.evidence(pa.array([plain + " 2024-05-01 at 10:30", None, ""])).tolist() == [0, 0, 0]
+
+
 def test_viterbi_is_the_best_reading():
     from itertools import product
 

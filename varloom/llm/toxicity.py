@@ -6,10 +6,12 @@
    from labelled rows: log-odds of document frequency.  At most ``MAX_TOXIC``
    toxic and ``MAX_CLEAN`` other rows, the first by a hash of their id, are used,
    and at most ``MAX_LEXICON`` entries are kept.
-3. Words that look disguised (digits or signs within letters, a letter three
-   times in a row, single letters in a row) become a lattice of readings; a
-   Viterbi pass picks the likeliest under the bigram model mixed with that of the
-   lexicon's words.
+3. Words that look disguised (a digit or sign that may stand for a letter, a
+   letter three times in a row, single letters in a row), of any length, become a
+   lattice of readings; a Viterbi pass picks the likeliest under the bigram model
+   mixed with that of the lexicon's words.  In single letters in a row and in
+   tokens of over ``JOINED`` characters, which are not one word, lexicon words of
+   three letters at least count at any offset.
 4. A document's score is a logistic function of the summed weights of the
    lexicon entries in its restored text, fitted on the same rows.
 
@@ -39,6 +41,8 @@ MAX_LEXICON = 50_000
 MIN_DOCS = 3
 MIN_SHARE = 0.01
 THRESHOLD = 0.7
+#: A longer token is taken as words without spaces; also the longest that is kept with its reading.
+JOINED = 40
 
 #: Signs that stand for letters.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h"}
@@ -76,6 +80,12 @@ def bigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 _RUNS = re.compile(r"(?:(?<=\s)|^)(?:[^\W_][\s._\-]+){3,}[^\W_](?=[\s.,;:!?]|$)")
 _GAPS = re.compile(r"[\s._\-]+")
 _THREE = re.compile(r"([^\W\d_])\1\1")
+_HELD = re.compile(r"(.)\1{3,}", re.S)
+#: A token from its first letter on, with a sign or digit that may stand for a letter.
+_SUSPECT = re.compile(r"(?<![^\W\d])(?<![.'\-])(?:[^\W\d]|[.'\-])*+[0-9@$!|+(€£*#][\w@$!|+(€£*#.'\-]*")
+_BREAKS = re.compile(r"[._'\-]+")
+_OTHER = re.compile(r"[^\w@$!|+(€£*#.'\-]+")
+_WIDE = re.compile(r"\s{2,}")
 
 
 class Channel:
@@ -91,17 +101,33 @@ class Channel:
             model = model + 0.5 * (m + 0.05) / (m + 0.05).sum(axis=1, keepdims=True)
         self.log = np.log(model).tolist()
         self.known: dict[str, str] = {}
+        self.words = {w for w in lexicon if len(w) > 2}
+        self.sizes = sorted({len(w) for w in self.words})
 
     def restore(self, token: str) -> str:
+        # Three in a row read as any longer run does.
+        token = _HELD.sub(r"\1\1\1", token.lower())
+        if len(token) > JOINED:
+            return self._viterbi(token)
         if token not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
-            self.known[token] = self._viterbi(token.lower())
+            self.known[token] = self._viterbi(token)
         return self.known[token]
 
+    def readings(self, text: str) -> list[str]:
+        """The parts of text that look disguised, restored, and lexicon words within the joined ones."""
+        out = []
+        for token, joined in _suspects(text):
+            word = self.restore(token)
+            out.append(word)
+            if joined:
+                out.extend(word[i : i + n] for n in self.sizes for i in range(len(word) - n + 1) if word[i : i + n] in self.words)
+        return out
+
     def _viterbi(self, token: str) -> str:
         # Nodes are runs of one character; a run of a letter may be one or two of it, a sign any of its letters.
-        log, here = self.log, {27: (0.0, "")}
+        log, here = self.log, {27: (0.0, None)}
         for run in re.finditer(r"(.)\1*", token, re.S):
             char, n = run[1], run.end() - run.start()
             readings = [(x, -1.0) for x in LEET.get(char, "")]
@@ -113,45 +139,54 @@ class Channel:
                 readings = [("", 0.0)]
             elif not readings:
                 readings = [("", -2.0)]
-            after: dict[int, tuple[float, str]] = {}
-            for last, (score, text) in here.items():
+            after: dict[int, tuple[float, tuple | None]] = {}
+            for last, (score, path) in here.items():
                 for out, cost in readings:
                     s, state = score + cost, last
                     for c in out:
                         code = ord(c) - 97 if "a" <= c <= "z" else 26
                         s, state = s + log[state][code], code
                     if state not in after or s > after[state][0]:
-                        after[state] = (s, text + out)
+                        after[state] = (s, (path, out) if out else path)
             here = after
-        return max((score + log[last][27], text) for last, (score, text) in here.items())[1]
+        path, parts = max(here.items(), key=lambda x: x[1][0] + log[x[0]][27])[1][1], []
+        while path:
+            path, out = path
+            parts.append(out)
+        return "".join(reversed(parts))
 
 
-def _suspects(text: str) -> list[str]:
-    """The parts of a text that look disguised."""
+def _suspects(text: str) -> list[tuple[str, bool]]:
+    """The parts of a text that look disguised, and whether one may be several words."""
     out = []
     for m in _SUSPECT.finditer(text):
-        token = m[0].strip(".,;:?\"'()[]{}<>%&=/\\").rstrip("!*#$+|")
-        if len(token) > 2 and len(token) <= 40 and sum(c.isalpha() for c in token) * 3 >= len(token) and not token.isalpha():
-            out.append(token)
+        whole = m[0].strip(".'()_-")
+        for token in {whole, whole.rstrip("!*#$+|"), *(p for p in _BREAKS.split(whole) if p != whole)}:
+            if len(token) > 2 and not token.isalpha():
+                out.append((token, len(token) > JOINED))
     for m in _RUNS.finditer(text):
-        # A one-letter word may stand before or after the spaced word.
+        # A one-letter word may stand before or after the spaced word; wide gaps may be between words.
         letters = _GAPS.sub("", m[0])
-        out.extend((letters, letters[1:], letters[:-1]))
+        out.extend(((letters, True), (letters[1:], False), (letters[:-1], False)))
+        parts = [_GAPS.sub("", p) for p in _WIDE.split(m[0])]
+        out.extend((p, False) for p in parts if len(p) > 2 and p != letters)
+    end = 0
     for m in _THREE.finditer(text):
         a, b = m.start(), m.end()
-        while a and not text[a - 1].isspace():
+        if a < end:
+            continue  # in the token before
+        while a > end and not text[a - 1].isspace():
             a -= 1
         while b < len(text) and not text[b].isspace():
             b += 1
-        if b - a <= 60:
-            out.append(text[a:b].strip(".,;:?!\"'()[]{}<>%&=/\\*#$+|"))
+        end = b
+        for part in _OTHER.split(text[a:b]):
+            for token in {part.strip(".'()*#$+|!_-"), *_BREAKS.split(part)}:
+                if _THREE.search(token):
+                    out.append((token, len(token) > JOINED))
     return out
 
 
-#: A letter, a sign or digit that may stand for one, and more letters or signs, in one word.
-_SUSPECT = re.compile(r"[0-9@$!|+(€£*#]*[^\W\d_]+[0-9@$!|+(€£*#]+[^\W_]\S*|[0-9@$!|+(€£*#]+[^\W\d_]\S*")
-
-
 def entries(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every word and of its first 4, 5 and 6 bytes if it is longer."""
     n = len(words.hash)
@@ -182,7 +217,7 @@ class Scorer:
         plain = texts.fill_null("")
         restored = []
         for t in plain.to_pylist():
-            restored.append(" ".join(self.channel.restore(s) for s in _suspects(t)))
+            restored.append(" ".join(self.channel.readings(t)))
         total = np.zeros(len(plain))
         if not len(self.keys):
             return total
