@@ -167,9 +167,74 @@ def near_copies(rng, first, n, length, edits):
     return out
 
 
-@pytest.mark.parametrize("crowd", [2, 24])
-def test_join_equals_brute_force(spark, monkeypatch, crowd):
-    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+def worn_copies(rng, first, n, length, edits, spots):
+    """Copies of one text that lose, replace and repeat words at few places, and copies of a far copy."""
+    base = some_text(rng, length, 10**6)
+    far = list(base)
+    for at in range(0, length, 9):
+        far[at] = f"f{at}"
+    out = []
+    for i in range(n):
+        t = list(far if i % 3 == 0 else base)
+        for at in sorted(rng.choice(length, int(rng.integers(0, edits)), replace=True).tolist(), reverse=True):
+            at = at % spots if rng.random() < 0.7 else at
+            kind = rng.integers(0, 3)
+            t[at : at + 1] = [] if kind == 0 else [f"x{rng.integers(0, 3)}"] if kind == 1 else t[max(0, at - 6) : at + 1]
+        out.append((first + i, " ".join(t)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2, 3])
+def test_join_within_one_family_equals_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(jaccard_join, "SEEN", 2)
+    monkeypatch.setattr(jaccard_join, "PART_BYTES", 20_000)
+    monkeypatch.setattr(common, "SLICE_BYTES", 5_000)
+    rng = np.random.default_rng(seed)
+    rows = worn_copies(rng, 0, 150, 90, 9, 90) + worn_copies(rng, 200, 90, 60, 7, 20) + worn_copies(rng, 400, 60, 25, 4, 25)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(docs(spark, rows)).collect())
+    assert got == plain_components(rows)
+
+
+def test_least_shared_prefix_shingles_are_least_at_an_end(spark):
+    """What _across asks of a group is no more than what any partner of its range of sizes has to share."""
+    top = 160
+    sizes = spark.range(1, top).select(F.col("id").alias("n")).crossJoin(spark.range(1, top).select(F.col("id").alias("m"))).filter(jaccard_join._close("n", "m"))
+    need = {(r["n"], r["m"]): r["need"] for r in sizes.select("n", "m", jaccard_join._need(F.col("n"), F.col("m")).alias("need")).collect()}
+    for n in range(1, top):
+        for low in range(-(-75 * n // 100), n * 100 // 75 + 1):
+            if low >= top:
+                break
+            least = need[n, low]
+            for high in range(low, min(top - 1, n * 100 // 75) + 1):
+                least = min(least, need[n, high])
+                assert max(min(6, -(-75 * n // 100)), min(need[n, low], need[n, high]) - 2) <= least
+
+
+def test_linked_sets_share_prefix_shingles():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(1, 120))
+        pool = rng.integers(0, 2**63, 200).astype(np.uint64)
+        order = jaccard_join.Order(rng.permutation(np.unique(pool[: int(rng.integers(0, 150))] >> np.uint64(16))))
+        x = np.unique(rng.choice(pool, n))
+        y = np.unique(np.concatenate((rng.choice(x, len(x) - len(x) // 12, replace=False), rng.choice(pool, len(x) // 12))))
+        tokens, which, _ = order.prefixes(np.concatenate((x, y)), np.array([len(x), len(y)]))
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= 75 * (len(x) + len(y) - both):
+            assert len(np.intersect1d(tokens[which == 0], tokens[which == 1])) >= min(jaccard_join.DEPTH, both)
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b = "a b c d e f g", "p q r s t u v w"
+    rows = [(3, a), (3, a), (4, a), (None, b), (None, b), (None, a), (9, "x y z"), (9, b), (None, None), (None, None), (7, ""), (7, "")]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.clean(docs(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(3, a), (9, b), (9, "x y z"), (None, None), (None, None), (7, ""), (7, "")], key=str)
+    assert jaccard_join.clean(docs(spark, rows)).columns == docs(spark, rows).columns
+    rows = [(None, b), (None, b), (1, a)]
+    assert sorted((r["text"] for r in jaccard_join.clean(docs(spark, rows)).collect())) == [a, b]
+
+
+def test_join_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SEEN", 2)
     rng = np.random.default_rng(2)
     rows = near_copies(rng, 0, 60, 80, 7) + near_copies(rng, 100, 25, 30, 3) + near_copies(rng, 200, 12, 12, 2)

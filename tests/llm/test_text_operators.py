@@ -39,6 +39,18 @@ def test_words_and_windows_equal_python():
     assert plain.hash[1] != plain.hash[3]
 
 
+@pytest.mark.parametrize("bare", [False, True])
+def test_pieces_make_no_difference(monkeypatch, bare):
+    texts = ["alpha beta", "", "x" * 900 + " y", " é ".join("abc" * 7 for _ in range(60)), "end"]
+    whole = common.Words(pa.array(texts), True, bare)
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(common, "PIECE_BYTES", size)
+        cut = common.Words(pa.array(texts), True, bare)
+        for name in ("starts", "ends", "first", "hash"):
+            assert np.array_equal(getattr(whole, name), getattr(cut, name))
+        assert np.array_equal(cut.prefixes(True, 4), common.Words(pa.array([bytes(whole.data[s : min(e, s + 4)]).decode("latin-1") for s, e in zip(whole.starts, whole.ends)]), True).hash) or bare or any(b > 127 for t in texts for b in t.encode())
+
+
 def test_slices_cut_whole_rows():
     batch = pa.record_batch({"text": ["a" * 10, None, "b" * 100, "c", "d"]})
     parts = [p.column(0).to_pylist() for p in common.slices(batch, "text", 12)]

@@ -8,6 +8,7 @@ splitting code points.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,15 +21,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are hashed in slices of about this many bytes, whatever the batch size is.
 SLICE_BYTES = 2 << 20
-#: The setting of rows in an Arrow batch, and how many are sent at once.
-BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+#: Words are hashed in pieces of this many bytes, so that a long text costs little besides itself.
+PIECE_BYTES = 1 << 18
+#: The bounds of an Arrow batch: rows, and bytes (a longer row is a batch of its own).
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 _U = np.uint64
 _MULT = _U(0x9E3779B97F4A7C15)
 _INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+def bounded(spark: SparkSession) -> None:
+    """Lowers the session's bounds of an Arrow batch to BATCHES, for good: what a Python worker holds follows them."""
+    for key, most in BATCHES.items():
+        number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get(key).lower()).groups()
+        if not 0 < int(number) << 10 * " kmgt".index(unit or " ") <= most:
+            spark.conf.set(key, str(most))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -50,23 +62,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read again: cuts lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/varloom/{label}-{uuid.uuid4().hex}"
-    # Long texts: batches of fewer rows bound what a Python worker holds.
-    rows = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, str(min(int(rows), BATCH_ROWS)))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH, rows)
-    return spark.read.schema(df.schema).parquet(path)
+    bounded(spark)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def forget(*frames: DataFrame) -> None:
-    """Deletes the files of frames that :func:`written` made and nothing reads any more."""
+    """Deletes the files of frames that :func:`written` returned and nothing reads any more."""
     for df in frames:
         jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(top)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tidy(spark: SparkSession) -> None:
@@ -121,8 +129,7 @@ class _Tables:
     space = np.zeros(256, bool)
     space[[0x20, *range(0x09, 0x0E)]] = True
     punctuation = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
-    powers = np.ones(1, _U)
-    inverse = np.ones(1, _U)
+    powers: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def code(cls, lower: bool) -> np.ndarray:
@@ -134,15 +141,20 @@ class _Tables:
         return cls.codes[lower]
 
     @classmethod
-    def power(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.powers) < n:
-            size = max(n, SLICE_BYTES + (1 << 16))
-            step = np.full(size, _MULT, _U)
-            step[0] = 1
-            back = np.full(size, _INV, _U)
-            back[0] = 1
-            cls.powers, cls.inverse = np.cumprod(step), np.cumprod(back)
-        return cls.powers[:n], cls.inverse[:n]
+    def power(cls) -> tuple[np.ndarray, np.ndarray]:
+        """The multiplier to the 0, 1, ... PIECE_BYTES, and its inverses."""
+        if cls.powers is None or len(cls.powers[0]) != PIECE_BYTES + 1:
+            both = []
+            for base in (_MULT, _INV):
+                step = np.full(PIECE_BYTES + 1, base, _U)
+                step[0] = 1
+                both.append(np.cumprod(step))
+            cls.powers = both[0], both[1]
+        return cls.powers
+
+
+def _raised(n: int) -> np.uint64:
+    return _U(pow(int(_MULT), n, 1 << 64))
 
 
 class Words:
@@ -157,25 +169,48 @@ class Words:
             raw = col.buffers()[2]
             self.data = np.frombuffer(raw, np.uint8)[lo:hi] if raw is not None and hi > lo else np.zeros(0, np.uint8)
             self.offsets = offsets - lo
-            n = len(self.data)
-            inside = ~(_Tables.punctuation if bare else _Tables.space)[self.data]
-            head = np.zeros(n + 1, bool)
-            head[self.offsets] = True
-            before = np.empty(n, bool)
-            after = np.empty(n, bool)
-            if n:
-                before[0], after[-1] = False, False
-                before[1:], after[:-1] = inside[:-1], inside[1:]
-            self.starts = np.flatnonzero(inside & (~before | head[:n]))
-            self.ends = np.flatnonzero(inside & (~after | head[1:])) + 1
+            self._split((_Tables.punctuation if bare else _Tables.space))
             self.first = np.searchsorted(self.starts, self.offsets)
-            if len(self.starts):
-                up, down = _Tables.power(n)
-                total = np.zeros(n + 1, _U)
-                np.cumsum(_Tables.code(lower)[self.data] * up, out=total[1:])
-                self.hash = mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(_U))
-            else:
-                self.hash = np.zeros(0, _U)
+            self.hash = self.prefixes(lower)
+
+    def _split(self, apart: np.ndarray) -> None:
+        n, starts, ends, last = len(self.data), [], [], False
+        rows = np.unique(self.offsets)
+        for lo in range(0, n, PIECE_BYTES):
+            inside = ~apart[self.data[lo : lo + PIECE_BYTES]]
+            before = np.empty(len(inside), bool)
+            before[0], before[1:] = last, inside[:-1]
+            head = np.zeros(len(inside), bool)
+            head[rows[slice(*np.searchsorted(rows, (lo, lo + len(inside))))] - lo] = True
+            starts.append(lo + np.flatnonzero(inside & (~before | head)))
+            ends.append(lo + np.flatnonzero(before & (~inside | head)))
+            last = bool(inside[-1])
+        if last:
+            ends.append(np.array([n]))
+        self.starts, self.ends = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends))
+
+    def prefixes(self, lower: bool, size: int | None = None) -> np.ndarray:
+        """A hash of every word, or of its first size bytes (of shorter words: of them all)."""
+        ends = self.ends if size is None else np.minimum(self.ends, self.starts + size)
+        out = np.zeros(len(self.starts), _U)
+        if not len(out):
+            return out
+        up, down = _Tables.power()
+        code = _Tables.code(lower)
+        with np.errstate(over="ignore"):
+            for lo in range(0, len(self.data), PIECE_BYTES):
+                data = self.data[lo : lo + PIECE_BYTES]
+                a, b = int(np.searchsorted(ends, lo, side="right")), int(np.searchsorted(self.starts, lo + len(data)))
+                if a >= b:
+                    continue
+                total = np.zeros(len(data) + 1, _U)
+                np.cumsum(code[data] * up[: len(data)], out=total[1:])
+                begin = np.maximum(self.starts[a:b] - lo, 0)
+                part = (total[np.minimum(ends[a:b] - lo, len(data))] - total[begin]) * down[begin]
+                if self.starts[a] < lo:  # the word goes on from the piece before
+                    part[0] *= _raised(lo - int(self.starts[a]))
+                out[a:b] += part
+            return mix(out + (ends - self.starts).astype(_U))
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of k consecutive words by first word, and whether the k words are of one row."""

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import _U, Words, _Tables, ints, load, mix, slices
+from varloom.llm.common import _U, Words, ints, load, mix, slices
 
 MAX_TOXIC = 4000
 MAX_CLEAN = 8000
@@ -193,16 +193,12 @@ def entries(words: Words) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, _U)
     rows, length = words.rows(), words.ends - words.starts
-    up, down = _Tables.power(len(words.data))
     with np.errstate(over="ignore"):
-        total = np.zeros(len(words.data) + 1, _U)
-        np.cumsum(_Tables.code(True)[words.data] * up, out=total[1:])
         out_rows, out = [rows], [words.hash]
         for size in (4, 5, 6):
-            long = np.flatnonzero(length > size)
-            at = words.starts[long]
+            long = length > size
             out_rows.append(rows[long])
-            out.append(mix((total[at + size] - total[at]) * down[at] + _U(size * 0x10001)))
+            out.append(mix(words.prefixes(True, size)[long] + _U(size)))
     return np.concatenate(out_rows), np.concatenate(out)
 
 
