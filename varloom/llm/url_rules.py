@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varloom.llm.common import load, written
+
 RULES_SCHEMA = "rule_host string, rule_path string, rule_verdict string"
 
 
@@ -84,7 +86,9 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     empty = stretches(rules)
     points = urls.select(host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), "id", "host", "path", F.lit(None).cast(empty.schema["stack"].dataType).alias("stack"))
     begins = empty.select(F.col("begin").alias("key"), F.lit(0).alias("kind"), F.lit(None).cast(points.schema["id"].dataType).alias("id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "stack")
-    ranged = points.union(begins).repartitionByRange(n, "key", "kind", "path", "id").withColumn("part", F.spark_partition_id())
+    # Dealt once and written: the sweep and what is carried over its parts' edges see the same parts.
+    dealt = points.union(begins).repartitionByRange(n, "key", "kind", "path", "id").withColumn("part", F.spark_partition_id())
+    ranged = written(dealt, "url-ranges")
     order = Window.partitionBy("part").orderBy("key", "kind")
     swept = ranged.withColumn("own", F.last("stack", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     # The stretch that is open where a part begins: the last one of any part before it.  One row a part.
@@ -119,8 +123,6 @@ CONTRACT_RULES = [
 
 
 def op9_url_rules(spark, sf_dir):
-    from varloom.llm.common import load
-
     rules = spark.createDataFrame(CONTRACT_RULES, RULES_SCHEMA)
     return judge(load(spark, sf_dir, "pages"), rules)
 
