@@ -356,6 +356,46 @@ def test_url_rules_equal_brute_force(spark):
     assert got == {i: plain_verdict(u, rules) for i, u in enumerate(urls)}
 
 
+@pytest.mark.parametrize("run", [0, 1])
+def test_many_rules_over_many_partitions(spark, monkeypatch, run):
+    rng = np.random.default_rng(run)
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        names = [f"a{i}" for i in range(30)]
+        hosts = sorted({".".join(rng.choice(names, rng.integers(1, 4))) + rng.choice([".com", ".org"]) for _ in range(600)})
+        rules = [(str(h), str(p), str(v)) for h, p, v in zip(rng.choice(hosts, 300), rng.choice(["/", "/x", "/x/y", ""], 300), rng.choice(["allow", "block"], 300))]
+        urls = [(i, f"http://{rng.choice(names)}.{rng.choice(hosts)}{rng.choice(['/x/y/z', '/x', '/q', ''])}") for i in range(6000)]
+        pages = spark.createDataFrame(urls, "page_id long, url string").repartition(8)
+        got = url_rules.judge(pages, spark.createDataFrame(rules, url_rules.RULES_SCHEMA)).collect()
+        assert len(got) == len(urls)
+        found = {r["page_id"]: r for r in got}
+        for i, url in urls:
+            host, _, path = url.split("://")[1].partition("/")
+            path = "/" + path if "/" in url.split("://")[1] else ""
+            fit = [(len(h), len(p), h, p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+            best = max(fit) if fit else None
+            assert (found[i]["rule"], found[i]["verdict"]) == ((best[2] + best[3], best[4]) if best else (None, "allow")), url
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("text", ["a" * 10**6, "aaab" * 250_000, "x y " * 250_000, "abcdefghij" * 100_000, "l33t" * 250_000])
+def test_long_runs_take_time_in_proportion(text):
+    import time
+
+    channel = toxicity.Channel(np.ones((28, 28)), ["idiot", "fool"])
+    began = time.process_time()
+    channel.readings(text)
+    assert time.process_time() - began < 60
+
+
+def test_an_id_labelled_both_ways_is_toxic(spark):
+    rows = docs(spark, [f"{w} tree house" for w in ("grunk", "grunk", "grunk", "grunk", "calm", "calm", "calm", "calm")])
+    labels = spark.createDataFrame([(i, t) for i in range(8) for t in ((1, 0) if i < 4 else (0,))], "doc_id long, toxic int")
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(rows, toxicity.learn(rows, labels)).collect()}
+    assert min(scored[i] for i in range(4)) > max(scored[i] for i in range(4, 8))
+
+
 def test_url_rules_without_rules_or_pages(spark):
     rules = spark.createDataFrame([(None, "/", "block"), ("com", "/", "block"), ("com", "/", "allow")], url_rules.RULES_SCHEMA)
     pages = spark.createDataFrame([(1, "http://x.com/")], "page_id long, url string")

@@ -4,8 +4,7 @@
    driver is one count for each of 28 x 28 pairs).
 2. Words and word beginnings (4 to 6 bytes) that mark toxic rows are learned
    from labelled rows: log-odds of document frequency.  At most ``MAX_TOXIC``
-   toxic and ``MAX_CLEAN`` other rows, the first by a hash of their id, are used,
-   and at most ``MAX_LEXICON`` entries are kept.
+   toxic and ``MAX_CLEAN`` other rows, the first by a hash of their id, are used.
 3. Words that look disguised (a digit or sign that may stand for a letter, a
    letter three times in a row, single letters in a row), of any length, become a
    lattice of readings; a Viterbi pass picks the likeliest under the bigram model
@@ -19,7 +18,9 @@ Learning needs (id, toxic) rows and the texts only; scores use the text alone.
 
 Defined results: null and empty texts get the score of a text without any entry;
 rows keep their multiplicity and null ids; without labelled rows of both kinds
-every score is 0; null labels are not used; an empty table gives no row.
+every score is 0; null labels are not used, and an id labelled both ways counts as
+toxic; very long texts are read whole, in time that grows with their length; an
+empty table gives no row.
 """
 
 from __future__ import annotations
@@ -32,15 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import _U, Words, ints, load, mix, slices
+from varloom.llm.common import _U, Words, bounded, ints, load, mix, slices
 
 MAX_TOXIC = 4000
 MAX_CLEAN = 8000
-MAX_LEXICON = 50_000
 #: An entry has to be in this many toxic rows: three, and this share of those used.
 MIN_DOCS = 3
 MIN_SHARE = 0.01
 THRESHOLD = 0.7
+#: Evidence is counted in steps of this size when the logistic function is fitted.
+STEP = 1 / 256
 #: A longer token is taken as words without spaces; also the longest that is kept with its reading.
 JOINED = 40
 
@@ -110,7 +112,7 @@ class Channel:
         if len(token) > JOINED:
             return self._viterbi(token)
         if token not in self.known:
-            if len(self.known) > 200_000:
+            if len(self.known) > 20_000:
                 self.known.clear()
             self.known[token] = self._viterbi(token)
         return self.known[token]
@@ -223,9 +225,9 @@ class Scorer:
             at = np.searchsorted(self.keys, keys)
             hit = at < len(self.keys)
             hit[hit] = self.keys[at[hit]] == keys[hit]
-            both.append(np.stack((rows[hit], at[hit])))
-        pairs = np.unique(np.concatenate(both, axis=1), axis=1)
-        np.add.at(total, pairs[0], self.weights[pairs[1]])
+            both.append(rows[hit] * len(self.keys) + at[hit])
+        pairs = np.unique(np.concatenate(both))
+        np.add.at(total, pairs // len(self.keys), self.weights[pairs % len(self.keys)])
         return total
 
     def score(self, texts: pa.Array) -> np.ndarray:
@@ -234,14 +236,14 @@ class Scorer:
         return 1.0 / (1.0 + np.exp(-np.clip(self.offset + self.slope * np.sqrt(self.evidence(texts)), -40, 40)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(slope, offset) by Newton steps with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """(slope, offset) by Newton steps with a small ridge; n: how often each (x, y) is there."""
     b = np.zeros(2)
     a = np.stack((x, np.ones_like(x)), axis=1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        grad = a.T @ (y - p) - np.array([0.05, 0.05]) * b
-        hess = (a * (p * (1 - p))[:, None]).T @ a + np.diag([0.05, 0.05])
+        grad = a.T @ (n * (y - p)) - np.array([0.05, 0.05]) * b
+        hess = (a * (n * p * (1 - p))[:, None]).T @ a + np.diag([0.05, 0.05])
         step = np.linalg.solve(hess, grad)
         b += step
         if np.abs(step).max() < 1e-9:
@@ -252,7 +254,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     """labels: (doc_id, toxic) rows to learn from."""
     spark = docs.sparkSession
-    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").dropDuplicates(["doc_id"])
+    bounded(spark)
+    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [
         (r["doc_id"], toxic)
         for toxic, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))
@@ -273,9 +276,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
                 words = Words(part.column("text"), lower=True, bare=True)
                 rows, keys = entries(words)
                 toxic = part.column("toxic").to_numpy()
-                pairs = np.unique(np.stack((rows.astype(_U), keys)), axis=1)
-                keys, at = np.unique(pairs[1], return_inverse=True)
-                bad = np.bincount(at, weights=toxic[pairs[0].astype(np.int64)], minlength=len(keys)).astype(np.int64)
+                keys, at = np.unique(keys, return_inverse=True)
+                pairs = np.unique(at * part.num_rows + rows)
+                at = pairs // part.num_rows
+                bad = np.bincount(at, weights=toxic[pairs % part.num_rows], minlength=len(keys)).astype(np.int64)
                 all_ = np.bincount(at, minlength=len(keys))
                 # A spelling of each whole word, for the channel's model.
                 spelled: dict[int, str] = {}
@@ -284,7 +288,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
                     wanted = set(keys[bad > 0].tolist())
                     for h, i in zip(first[0].tolist(), first[1].tolist(), strict=True):
                         if h in wanted:
-                            spelled[h] = bytes(words.data[words.starts[i] : words.ends[i]][:64]).decode("utf-8", "ignore").lower()
+                            spelled[h] = bytes(words.data[words.starts[i] : words.ends[i]]).decode("utf-8", "ignore").lower()
                 yield pa.RecordBatch.from_arrays([pa.array(ints(keys)), pa.array(bad), pa.array(all_ - bad), pa.array([spelled.get(k) for k in keys.tolist()], pa.string())], names=["key", "bad", "good", "word"])
 
     odds = F.log((F.col("bad") + 0.2) / (n_toxic + 0.4)) - F.log((F.col("good") + 0.2) / (n_clean + 0.4))
@@ -296,7 +300,6 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
         .withColumn("odds", odds)
         .filter("odds > 3")
         .orderBy(F.desc("odds"), "key")
-        .limit(MAX_LEXICON)
         .collect()
     )
     if not found:
@@ -312,9 +315,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(shared.value.evidence(part.column("text")))], names=["toxic", "x"])
 
-    seen = sample.mapInArrow(measure, "toxic int, x double").collect()
-    x, y = np.array([r["x"] for r in seen]), np.array([float(r["toxic"]) for r in seen])
-    scorer.slope, scorer.offset = _logistic(np.sqrt(x), y)
+    # Counted by steps of the evidence, so that repeated rows do not add to what reaches the driver.
+    step = F.round(F.sqrt("x") / STEP).cast("long")
+    seen = sample.mapInArrow(measure, "toxic int, x double").groupBy("toxic", step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy("toxic", "step").collect()
+    x, y, n = np.array([r["step"] * STEP for r in seen]), np.array([float(r["toxic"]) for r in seen]), np.array([float(r["n"]) for r in seen])
+    scorer.slope, scorer.offset = _logistic(x, y, n) if seen else (0.0, 0.0)
     return scorer
 
 
