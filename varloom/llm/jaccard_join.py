@@ -65,7 +65,9 @@ MANY = 8
 #: Strays meet hubs again as long as this share of them finds a link.
 ROUND_SHARE = 0.05
 #: A member with w over so many times its centre's size has little in common with it, and is a group by itself.
-FAR = 4
+FAR = 5
+#: Centres with w up to so many times the other's size make one family.
+NEAR = 4
 #: Prefix shingles are dealt to parts of about so many bytes of text.
 PART_BYTES = 32 << 20
 #: Shingles are compared by 48 bits where that only filters or orders.
@@ -424,21 +426,30 @@ def _differences(placed: DataFrame, whole: DataFrame) -> DataFrame:
 
 
 def _alive(apart: DataFrame) -> DataFrame:
-    """The (fam, token, sig, grp, w, size, stray) rows that can matter, with s, the shingles of a member that count, and need.
+    """The (fam, token, sig, grp, w, size, stray) rows that can matter, with s, the shingles of a member that count, and partner.
 
     A shingle counts if members of two components have it, one of them a stray.  A
-    pair needs (w(x) + w(y) - size) / 7 of them, and x or y is a stray; so a member is
-    held against the least stray, and a stray against the least member.
+    pair needs (w(x) + w(y) - size) / 7 of them, no more than either's s, and x or y is a
+    stray; so a member is held against the least w of every s in its family.
+    partner is the least that it has to share with any stray, other that with any member;
+    null without one.
     """
     several = apart.groupBy("fam", "token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.max("stray").alias("any"), F.count(F.lit(1)).alias("c")).filter("lo <> hi and any").select("fam", "token", "c")
     met = apart.join(several, ["fam", "token"])
     members = met.groupBy("fam", "sig").agg(F.first("w").alias("w"), F.first("size").alias("size"), F.first("stray").alias("stray"), F.count(F.lit(1)).alias("s"))
-    low = members.groupBy("fam").agg(F.min("w").alias("least"), F.min(F.when(F.col("stray"), F.col("w"))).alias("least_stray"))
-    other = F.when(F.col("stray"), F.col("least")).otherwise(F.col("least_stray"))
-    held = members.join(low, "fam").withColumn("need", F.greatest(F.lit(1), F.ceil((F.col("w") + other - F.col("size")) / 7))).filter("s >= need")
-    # As the partner of a stray.
-    partner = F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("least_stray") - F.col("size")) / 7))
-    return met.join(held.select("fam", "sig", "s", partner.alias("partner")), ["fam", "sig"])
+    # As many entries as there are values of s in a family: no more than its largest difference has shingles.
+    least = members.groupBy("fam", "s").agg(F.min("w").alias("any"), F.min(F.when(F.col("stray"), F.col("w"))).alias("stray")).groupBy("fam").agg(F.collect_list(F.struct("s", "any", "stray")).alias("others"))
+
+    def need(w):
+        return F.greatest(F.lit(1), F.ceil((F.col("w") + w - F.col("size")) / 7))
+
+    def possible(kind: str):
+        return lambda e: e[kind].isNotNull() & (need(e[kind]) <= F.least("s", e["s"]))
+
+    held = members.join(least, "fam").filter(F.when(F.col("stray"), F.exists("others", possible("any"))).otherwise(F.exists("others", possible("stray"))))
+    partner = F.array_min(F.transform(F.filter("others", possible("stray")), lambda e: need(e["stray"])))
+    other = F.array_min(F.transform(F.filter("others", possible("any")), lambda e: need(e["any"])))
+    return met.join(held.select("fam", "sig", "s", partner.alias("partner"), other.alias("other")), ["fam", "sig"])
 
 
 _APART = ("fam", "token", "sig", "grp", "w", "size", "stray")
@@ -450,6 +461,17 @@ def _regrouped(apart: DataFrame, links: DataFrame, label: str) -> DataFrame:
     return apart.join(moved, "grp", "left").withColumn("grp", F.coalesce("root", "grp")).select(*_APART)
 
 
+def _centres(placed: DataFrame, met: DataFrame, whole: DataFrame) -> DataFrame:
+    """(fam, centre): families whose centres are near one another become that of the largest; met: (sig, the family of each of its shingles' hubs)."""
+    sizes = written(placed.groupBy("fam").agg(F.count(F.lit(1)).alias("members")), "jaccard-families")
+    others = met.join(sizes.select(F.col("fam").alias("sig")), "sig", "left_semi").filter("sig <> to").groupBy("sig").agg(F.expr("mode(to, true)").alias("fam"))
+    near = _differences(others.withColumn("grp", F.col("sig")), whole).filter(F.col("w") <= NEAR * F.col("size"))
+    trees = components(near.select(F.col("sig").alias("a"), F.col("fam").alias("b")), "jaccard-centres")
+    sized = trees.join(sizes, F.col("node") == F.col("fam"), "left").select("root", "node", F.coalesce("members", F.lit(0)).alias("members"))
+    largest = sized.groupBy("root").agg(F.max_by("node", F.struct("members", "node")).alias("centre"))
+    return trees.join(largest, "root").select(F.col("node").alias("fam"), "centre")
+
+
 def _regular(member: DataFrame, whole: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(member, in which those far from their family's centre are families of one; the others' differences)."""
     placed = member.select("sig", "grp", "fam").distinct()
@@ -491,15 +513,16 @@ def _within(differ: DataFrame, whole: DataFrame) -> tuple[list[DataFrame], DataF
         if linked < ROUND_SHARE * tested or not linked:
             break
     alive = written(_alive(apart), "jaccard-held")
-    # Of a member's s shingles any s - partner + 1 hold one that it shares with a stray it links with: the rarest.
+    # In one order, rarest first, the first shingle that a pair shares is among the first
+    # s - partner + 1 of the one and s - other + 1 of the stray.
     rank = F.row_number().over(Window.partitionBy("fam", "sig").orderBy("c", "token"))
-    first = F.col("s") - F.col("partner") + 1
-    left = alive.withColumn("rank", rank).filter(F.col("rank") <= first).select("fam", "token", F.col("sig").alias("b"), F.col("grp").alias("gb"), F.col("w").alias("wb"), F.col("stray").alias("also"), first.alias("first"), F.col("s").alias("sb"))
-    right = alive.filter("stray").select("fam", "token", F.col("sig").alias("a"), F.col("grp").alias("ga"), F.col("w").alias("wa"), "size", F.col("s").alias("sa"))
+    ranked = written(alive.withColumn("rank", rank), "jaccard-ranked")
+    left = ranked.filter(F.col("rank") <= F.col("s") - F.col("partner") + 1).select("fam", "token", F.col("sig").alias("b"), F.col("grp").alias("gb"), F.col("w").alias("wb"), F.col("stray").alias("also"), (F.col("partner") - 1).alias("pb"), F.col("s").alias("sb"))
+    right = ranked.filter("stray").filter(F.col("rank") <= F.col("s") - F.col("other") + 1).select("fam", "token", F.col("sig").alias("a"), F.col("grp").alias("ga"), F.col("w").alias("wa"), "size", (F.col("other") - 1).alias("pa"), F.col("s").alias("sa"))
     need = F.ceil((F.col("wa") + F.col("wb") - F.col("size")) / 7)
     met = left.join(right, ["fam", "token"]).filter("ga <> gb and (not also or b < a)").filter(need <= F.least("sa", "sb"))
-    # Shingles behind the first ones are sb - first at most.
-    pairs = met.groupBy("a", "b", need.alias("need"), (F.col("sb") - F.col("first")).alias("behind")).agg(F.count(F.lit(1)).alias("shared")).filter("shared + behind >= need")
+    # What they share behind the first of the two ends is no more than what stands there.
+    pairs = met.groupBy("a", "b", need.alias("need"), F.greatest("pa", "pb").alias("behind")).agg(F.count(F.lit(1)).alias("shared")).filter("shared + behind >= need")
     return links, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -561,6 +584,8 @@ def _class_components(texts: DataFrame, profiles: DataFrame, classes: DataFrame)
     # Hubs of one component stand for one group.
     of_hub = groups.select(F.col("node").alias("fam"), F.col("root").alias("hub_root"))
     placed = hubs.select("sig", "fam").join(of_hub, "fam", "left").select("sig", F.coalesce("hub_root", "fam").alias("fam")).join(groups.withColumnRenamed("node", "sig"), "sig", "left")
+    centres = _centres(placed, matrix.join(of_hub.withColumnRenamed("fam", "hub"), "hub", "left").select("sig", F.coalesce("hub_root", "hub").alias("to")), whole)
+    placed = placed.join(centres, "fam", "left").withColumn("fam", F.coalesce("centre", "fam")).drop("centre")
     member = matrix.select("token", "sig", "n").join(placed, "sig").select("token", "sig", "n", F.coalesce("root", "sig").alias("grp"), "fam")
     crossed = written(_crossed(member), "jaccard-crossed")
     forget(matrix, hubs)
