@@ -7,6 +7,7 @@ splitting code points.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -26,6 +27,7 @@ PIECE_BYTES = 1 << 18
 #: The bounds of an Arrow batch: rows, and bytes (a longer row is a batch of its own).
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
+_LIBC = ctypes.CDLL(None)
 _U = np.uint64
 _MULT = _U(0x9E3779B97F4A7C15)
 _INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -83,6 +85,14 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def returned() -> None:
+    """Gives a worker's freed memory back to the system, as idle workers stay."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of whole rows of about limit bytes of text."""
     col = batch.column(text)
@@ -94,6 +104,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         stop = max(begin + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(begin, stop - begin)
         begin = stop
+    returned()
 
 
 def packed(docs: DataFrame) -> DataFrame:

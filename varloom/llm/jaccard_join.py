@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from varloom.llm.common import _U, Words, bounded, forget, ints, load, mix, slices, tidy, unpacked, written
+from varloom.llm.common import _U, Words, bounded, forget, ints, load, mix, returned, slices, tidy, unpacked, written
 
 SHINGLE = 5
 SIMILAR, OF = 75, 100
@@ -208,6 +208,29 @@ def _prefixed(docs: DataFrame, order: Order) -> DataFrame:
     return docs.select("text").mapInArrow(run, _PREFIXES)
 
 
+def _dealt(keys: np.ndarray, parts: int) -> list[np.ndarray]:
+    """The places in keys of each part's keys."""
+    part = (keys % _U(parts)).astype(np.int64)
+    by_part = np.argsort(part, kind="stable")
+    return np.split(by_part, np.flatnonzero(np.diff(part[by_part])) + 1) if len(keys) else []
+
+
+def _shown(docs: DataFrame, order: Order, parts: int) -> DataFrame:
+    """(part, keys, times): as _sent, without the slices and signatures, straight from the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                prefix = shared.value.prefixes(*_joined(_distinct(part.column("text"))[3]))[0]
+                keys, times = np.unique(prefix >> _SHIFT, return_counts=True)
+                times = np.minimum(times, 255).astype(np.uint8)
+                out = [(int(keys[at[0]] % _U(parts)), _six(keys[at]), times[at].tobytes()) for at in _dealt(keys, parts)]
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["part", "keys", "times"])
+
+    return docs.select("text").mapInArrow(run, "part bigint, keys binary, times binary")
+
+
 def _sent(prefixes: DataFrame, parts: int) -> DataFrame:
     """(part, slice, keys, times, signs): each slice's prefix shingles by 48 bits, dealt to parts, with how many sets have each (255: or more) and one that has it."""
     kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3]
@@ -218,15 +241,9 @@ def _sent(prefixes: DataFrame, parts: int) -> DataFrame:
                 keys, first, times = np.unique(np.frombuffer(row["tokens"], _U) >> _SHIFT, return_index=True, return_counts=True)
                 signs = np.repeat(np.frombuffer(row["own"], _U), np.frombuffer(row["counts"], np.int32))[first]
                 times = np.minimum(times, 255).astype(np.uint8)
-                part = (keys % _U(parts)).astype(np.int64)
-                by_part = np.argsort(part, kind="stable")
-                edges = np.flatnonzero(np.diff(part[by_part], prepend=-1, append=-1))
-                out = []
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                    at = by_part[a:b]
-                    out.append((int(part[at[0]]), row["slice"], _six(keys[at]), times[at].tobytes(), signs[at].tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["part", "slice", "keys", "times", "signs"])
+                out = [(int(keys[at[0]] % _U(parts)), row["slice"], _six(keys[at]), times[at].tobytes(), signs[at].tobytes()) for at in _dealt(keys, parts)]
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=["part", "slice", "keys", "times", "signs"])
+            returned()
 
     return prefixes.select("slice", "own", "counts", "tokens").mapInArrow(run, "part bigint, slice bigint, keys binary, times binary, signs binary")
 
@@ -303,6 +320,7 @@ def _whole(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 part = batch.slice(begin, 256)
                 found = shingle_sets(Words(unpacked(part.column("z")), lower=True))
                 yield pa.RecordBatch.from_arrays([part.column("sig"), pa.array([len(f) for f in found], pa.int32()), pa.array([f.tobytes() for f in found], pa.binary())], names=["sig", "n", "z"])
+            returned()
 
     packed = docs.select("text").mapInArrow(signed, "sig bigint, z binary")
     return packed.join(wanted, "sig", "left_semi").dropDuplicates(["sig"]).mapInArrow(opened, "sig bigint, n int, z binary")
@@ -325,6 +343,7 @@ def _linked(pairs: DataFrame, whole: DataFrame) -> DataFrame:
                 keep.append(OF * both >= SIMILAR * ((len(x) + len(y)) // 8 - both))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+            returned()
 
     return _with_sets(pairs, whole).filter(_close("na", "nb")).select("a", "b", "za", "zb").mapInArrow(run, "a bigint, b bigint")
 
@@ -420,6 +439,7 @@ def _differences(placed: DataFrame, whole: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("b"), batch.column("a"), batch.column("grp"), pa.array(weights, pa.int64()), batch.column("nb"), pa.array(tokens, _LONGS)], names=["fam", "sig", "grp", "w", "size", "tokens"]
             )
+            returned()
 
     pairs = _with_sets(placed.select(F.col("sig").alias("a"), F.col("fam").alias("b"), "grp"), whole)
     return pairs.select("b", "a", "grp", F.col("nb").cast("bigint").alias("nb"), "za", "zb").mapInArrow(run, "fam bigint, sig bigint, grp bigint, w bigint, size bigint, tokens array<bigint>")
@@ -560,7 +580,7 @@ def _class_components(texts: DataFrame, profiles: DataFrame, classes: DataFrame)
     parts = 1 + 8 * total // PART_BYTES
     # Shingles that many prefixes hold come late in the order, so the counts are taken twice:
     # with what slices have shown, and with what the first prefixes show.
-    found = top(_sent(_prefixed(texts, Order(common)), parts).groupBy("part").applyInArrow(_crowded, "token bigint, c bigint"))
+    found = top(_shown(texts, Order(common), parts).groupBy("part").applyInArrow(_crowded, "token bigint, c bigint"))
     tidy(spark)
     prefixes = written(_prefixed(texts, Order(np.concatenate((found[~np.isin(found, common)], common)))), "jaccard-prefixes")
     told = _sent(prefixes, parts).groupBy("part").applyInArrow(_told, "slice bigint, keys binary")
