@@ -1,5 +1,6 @@
 """Operators that look at one text at a time."""
 
+import time
 import hashlib
 import json
 
@@ -253,6 +254,23 @@ def test_best_run_is_the_maximum():
         assert "X" not in text and text.count("W") == 25
 
 
+def test_long_pages_are_read_in_one_pass():
+    weights = html_text.learn()
+    n = 50_000
+    for markup in ("<b>" * n, "<b>" * n + "<div></div>" * n, "<svg>" * n, "<p><b>x</p>" * n, "</i>" * n + "<b></i>" * n):
+        start = time.perf_counter()
+        html_text.extract(markup, weights)
+        assert time.perf_counter() - start < 10
+    assert html_text.extract("<article><p data-x='" + "a>" * 30_000 + "'>One two three</p></article>", weights) == "One two three"
+    assert html_text.extract("<article><p>One <noscript> two <iframe> three</p><p>four</p></article>", weights) == "One two three\n\nfour"
+    assert html_text.extract("<article><p>One two</p></article><script> three", weights) == "One two"
+
+
+def test_kept_columns_that_clash_give_way(spark):
+    pages = spark.createDataFrame([(1, "<article><p>One two three</p></article>", "-", 7)], "page_id long, html string, text string, n_chars int")
+    assert [tuple(r) for r in html_text.main_text(pages, keep=("page_id", "text", "n_chars")).collect()] == [(1, "One two three", 13)]
+
+
 def test_pages_keep_their_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "-"), (1, "u", PAGE, "-"), (2, None, None, "-"), (None, "u", "", "-"), (3, "u", "<article>" + "<p>w</p>" * 5000, "-")], "page_id long, url string, html string, text string")
     rows = html_text.main_text(pages).collect()

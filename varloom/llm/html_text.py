@@ -12,7 +12,9 @@ are skipped, white space inside a block becomes one space, blocks are joined by
 two line feeds in page order; nothing is capped.
 
 Defined results: null or empty html gives an empty text; repeated rows give
-repeated results; an unfinished tag at the end is markup.
+repeated results; an unfinished tag at the end is markup; a script, style or textarea
+without an end runs to the end of the page, of other skipped elements without one the
+tag alone is skipped; a long page is read whole, in one pass; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from varloom.llm.common import load
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:\"[^\"]{0,20000}\"|'[^']{0,20000}'|[^\"'>])*)>"
+    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^\"'>])*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[A-Za-z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S,
@@ -44,17 +46,35 @@ RAW = frozenset("script style noscript template textarea iframe svg math object
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 
 
-def tokens(page: str):
-    """Yields (kind, value, features, block number): kind 'w' for text pieces, 't' for tags."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    open_features: tuple[tuple[str, ...], ...] = ()
+#: Elements whose content runs to the end of the page if they have no end.
+TO_THE_END = frozenset("script style textarea".split())
+
+
+def tokens(page: str, step, start):
+    """Yields (kind, value, state, block number): kind 'w' for text pieces, 't' for tags.
+
+    The state folds the features of the open elements: step(state of those outside,
+    features of the element), beginning with start.  Each element is looked at when it
+    opens and when it closes only, however many are open.
+    """
+    stack: list[tuple[str, object]] = []
+    blocks: list[int] = []  # places of block elements in the stack
+    opened: Counter[str] = Counter()
+    endless: set[str] = set()  # elements without an end further on
     block = at = 0
+
+    def close(depth: int) -> None:
+        opened.subtract(name for name, _ in stack[depth:])
+        del stack[depth:]
+        while blocks and blocks[-1] >= depth:
+            blocks.pop()
+
     while at < len(page):
         m = _TOKEN.match(page, at)
         at = m.end()
         text = m["text"]
         if text is not None:
-            yield "w", text, open_features, block
+            yield "w", text, stack[-1][1] if stack else start, block
             continue
         name = m["tag"] or m["tag2"]
         if not name:
@@ -66,28 +86,37 @@ def tokens(page: str):
         if name in RAW and not closing:
             if (m["attrs"] or m["attrs2"] or "").endswith("/"):
                 continue
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)|</{re.escape(name)}\Z", re.I).search(page, at)
-            at = end.end() if end else (at if name in ("head", "svg", "title", "object", "select") else len(page))
+            end = None
+            if name not in endless:
+                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)|</{re.escape(name)}\Z", re.I).search(page, at)
+            if end:
+                at = end.end()
+            elif name in TO_THE_END:
+                at = len(page)
+            else:
+                endless.add(name)
             continue
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None and not (name == "p" and any(s[0] in ("article", "div", "section", "td") for s in stack[depth + 1 :])):
-                del stack[depth:]
+            if opened[name] > 0:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
         elif name not in VOID:
-            if name in BLOCK and stack:
-                # A block ends an open paragraph and what is open inside it; list items and cells end their like.
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p" or (name == "li" and stack[i][0] == "li"):
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
-            words = _PART.findall(" ".join(_CAMEL.sub(" ", a or b or c) for a, b, c in _ATTR.findall(m["attrs"] or m["attrs2"] or "")).lower())
-            stack.append((name, (name, *words)))
-        open_features = tuple(fs for name_, fs in stack if name_ not in ('html', 'body'))
-        yield "t", name, open_features, block
+            if name in BLOCK and blocks:
+                # A block ends an open paragraph and what is open inside it; list items end their like.
+                inner = stack[blocks[-1]][0]
+                if inner == "p" or name == inner == "li":
+                    close(blocks[-1])
+            state = stack[-1][1] if stack else start
+            if name not in ("html", "body"):
+                words = _PART.findall(" ".join(_CAMEL.sub(" ", a or b or c) for a, b, c in _ATTR.findall(m["attrs"] or m["attrs2"] or "")).lower())
+                state = step(state, (name, *words))
+            if name in BLOCK:
+                blocks.append(len(stack))
+            stack.append((name, state))
+            opened[name] += 1
+        state = stack[-1][1] if stack else start
+        yield "t", name, state, block
         if name == "br":
-            yield "w", " ", open_features, block
+            yield "w", " ", state, block
 
 
 def labelled_pages():
@@ -116,9 +145,9 @@ def learn(smooth: float = 2.0) -> dict[str, float]:
     good, bad = Counter(), Counter()
     pages = list(labelled_pages())
     for page in pages:
-        for kind, value, features, _ in tokens(page):
+        for kind, value, features, _ in tokens(page, lambda outside, features: outside | set(features), frozenset([""])):
             if kind == "w" and value.strip():
-                (good if "W" in value else bad).update({*(f for element in features for f in element), ""})
+                (good if "W" in value else bad).update(features)
     ratio = (good[""] + smooth) / (bad[""] + smooth)
     weights = {f: math.log((good[f] + smooth) / (bad[f] + smooth) / ratio) for f in good | bad if f}
     # What is as common on both sides (p, a, li, wrappers) says nothing.
@@ -131,20 +160,24 @@ def learn(smooth: float = 2.0) -> dict[str, float]:
     return weights | {"": -best[1]}
 
 
-def _score(elements: tuple[tuple[str, ...], ...], weights: dict[str, float]) -> float:
-    """What one word is worth in these open elements.
+def _fold(weights: dict[str, float]):
+    """The step by which open elements make the state of a word: (what it is worth if settled, whether it is wanted).
 
     An element is for or against by its class words, each worth one at most, or
     else by its name.  A word below an element against it costs, but costs nothing inside a wanted
     element: it is left out there without splitting what is around it.
     """
-    wanted = False
-    for features in elements:
+
+    def step(state: tuple[float | None, bool], features: tuple[str, ...]) -> tuple[float | None, bool]:
+        settled, wanted = state
+        if settled is not None:
+            return state
         worth = sum(max(-1.0, min(1.0, weights.get(f, 0.0))) for f in features[1:]) or weights.get(features[0], 0.0)
         if worth < 0 and not (wanted and features[0] == "header"):
-            return 0.0 if wanted else -1.0
-        wanted = wanted or worth > 0
-    return 1.0 if wanted else 0.3
+            return (0.0 if wanted else -1.0), wanted
+        return None, wanted or worth > 0
+
+    return step
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
@@ -153,15 +186,12 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
         return ""
     cost = weights[""]
     pieces = []  # (score, text, block)
-    known: dict[tuple, float] = {}
-    for kind, value, features, block in tokens(page):
+    for kind, value, (settled, wanted), block in tokens(page, _fold(weights), (None, False)):
         if kind == "t":
             pieces.append((-cost, "", block, False))
             continue
         n = len(value.split())
-        if features not in known:
-            known[features] = _score(features, weights)
-        worth = known[features]
+        worth = settled if settled is not None else (1.0 if wanted else 0.3)
         pieces.append((worth * n, value, block, worth > 0))
     best, run, begin, span = 0.0, 0.0, 0, (0, 0)
     for i, (score, *_) in enumerate(pieces):
@@ -179,8 +209,9 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 
 def main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """keep columns, text and n_chars for every page."""
+    """keep columns, text and n_chars for every page; a kept column named like one of the last two gives way to it."""
     weights = learn()
+    keep = tuple(c for c in keep if c.lower() not in ("text", "n_chars"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema)
 
     def run(batches):
