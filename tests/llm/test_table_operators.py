@@ -123,6 +123,21 @@ def test_mix_meets_targets_and_limits(spark):
     assert even.n.min() > 0.5 * even.n.max()
 
 
+def test_exponents_on_both_sides_of_one(spark):
+    totals = spark.createDataFrame([("big", 900), ("small", 100)], "source string, tokens long")
+
+    def entropy(target):
+        got = mixing.exponents(totals, F.lit(1000), None, target).collect()
+        return got[0]["exponent"], -sum(r["weight"] * math.log(r["weight"]) for r in got if r["weight"])
+
+    for target in (0.1, 0.3, 0.5, 0.69):
+        exponent, found = entropy(target)
+        assert abs(found - target) < 1e-9 and (exponent > 1) == (target < 0.325)
+    assert entropy(0.0)[0] == mixing.STEEPEST and entropy(1.0)[0] < 1e-9
+    capped = mixing.exponents(totals, F.lit(10_000), 4.0, None).collect()
+    assert {r["source"]: r["target"] for r in capped} == {"big": 3600, "small": 400}
+
+
 def test_epochs_are_permuted_anew(spark):
     rows = [(i, "a b c", "s") for i in range(40)]
     got = mixing.mix(docs(spark, rows), budget_tokens=360, block_rows=5).toPandas()

@@ -2,8 +2,9 @@
 
 Source token shares p are raised to an exponent a and normalised to weights.
 The exponent is found by bisection: the largest-spread mix (smallest a in
-[0, 1]) that repeats no source more than ``repeat_limit`` times, or the a whose
-weights have the entropy ``target_entropy`` (in nats).  A token budget times the
+[0, 1]) that repeats no source more than ``repeat_limit`` times, or the a in
+[0, ``STEEPEST``] whose weights have the entropy ``target_entropy`` (in nats); over
+1, large sources gain.  A token budget times the
 weight is a source's target.  It is realised in epochs: every full epoch takes
 all rows of the source, in an order of blocks permuted anew, and the last one takes
 blocks in permuted order until the target, cutting the block that crosses it by
@@ -18,7 +19,10 @@ broadcast (a source's epochs and where its last one ends), and texts are not shu
 
 Defined results: a null source is a source named ''; null and empty texts have
 no tokens and are taken whenever their turn comes; a source without any token has
-no weight; equal ids stay together in order; an empty table gives no row.
+no weight; equal ids stay together in order; an entropy that no exponent in the range has gives
+the end of the range next to it; without a target entropy, a budget over
+``repeat_limit`` times all tokens is not spent in full: every source is taken
+``repeat_limit`` times; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ BLOCK_ROWS = 1000
 MAX_SOURCES = 100_000
 REPEAT_LIMIT = 4.0
 STEPS = 50
+STEEPEST = 64.0
 OUT = ("source", "epoch", "block", "block_order", "n_tokens")
 
 
@@ -58,7 +63,9 @@ def exponents(totals: DataFrame, budget: Column, repeat_limit: float | None, tar
         .filter(F.size("s") > 0)
         .withColumn("s", F.when(F.size("s") <= MAX_SOURCES, F.col("s")).otherwise(F.raise_error(F.lit("too many sources to mix")).cast("array<struct<source:string,tokens:bigint>>")))
         .withColumn("budget", budget.cast("long"))
-        .withColumn("p", F.transform("s", lambda x: x["tokens"].cast("double") / F.col("total")))
+        # Weights are the same for shares of any whole; of the largest, none but small ones vanish when raised.
+        .withColumn("whole", F.col("total") if target_entropy is None else F.array_max(F.transform("s", lambda x: x["tokens"])))
+        .withColumn("p", F.transform("s", lambda x: x["tokens"].cast("double") / F.col("whole")))
     )
 
     def too_low(a: Column) -> Column:
@@ -66,16 +73,19 @@ def exponents(totals: DataFrame, budget: Column, repeat_limit: float | None, tar
         if target_entropy is None:
             repeats = F.zip_with(weights, F.col("s"), lambda w, x: w * F.col("budget") / x["tokens"])
             return F.array_max(repeats) > F.lit(float(repeat_limit))
-        return F.aggregate(weights, F.lit(0.0), lambda s, w: s - w * F.ln(w)) > F.lit(float(target_entropy))
+        return F.aggregate(weights, F.lit(0.0), lambda s, w: s - F.when(w > 0, w * F.ln(w)).otherwise(0.0)) > F.lit(float(target_entropy))
 
     span = F.aggregate(
         F.sequence(F.lit(1), F.lit(STEPS)),
-        F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")),
+        F.struct(F.lit(0.0).alias("lo"), F.lit(1.0 if target_entropy is None else STEEPEST).alias("hi")),
         lambda s, _: F.when(too_low((s["lo"] + s["hi"]) / 2), F.struct(((s["lo"] + s["hi"]) / 2).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), ((s["lo"] + s["hi"]) / 2).alias("hi"))),
     )
     found = row.withColumn("exponent", span["hi"]).withColumn("w", _weights(F.col("p"), F.col("exponent")))
+    target = F.floor(F.col("x.w") * F.col("budget"))
+    if target_entropy is None:
+        target = F.least(target, F.floor(F.col("x.s.tokens") * F.lit(float(repeat_limit))))
     return found.select("exponent", "budget", F.explode(F.arrays_zip("s", "w")).alias("x")).select(
-        F.col("x.s.source").alias("source"), F.col("x.s.tokens").alias("tokens"), "exponent", F.col("x.w").alias("weight"), F.floor(F.col("x.w") * F.col("budget")).cast("long").alias("target")
+        F.col("x.s.source").alias("source"), F.col("x.s.tokens").alias("tokens"), "exponent", F.col("x.w").alias("weight"), target.cast("long").alias("target")
     )
 
 
