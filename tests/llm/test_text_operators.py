@@ -1,8 +1,8 @@
 """Operators that look at one text at a time."""
 
-import time
 import hashlib
 import json
+import time
 
 import numpy as np
 import pyarrow as pa
