@@ -194,6 +194,17 @@ def test_rolling_forecasts(spark, series, rolled):
     assert first["var_99"] == pytest.approx(-(p["mu"] + sigma * q))
 
 
+def test_chains_of_any_length_give_the_same_days(spark, series, rolled, monkeypatch):
+    monkeypatch.setattr(forecasts, "CHAIN", 2)
+    df, spec = frame(spark, series), vol.SPECS[4:5]
+    params = forecasts.refits(df, SMALL, spec).cache()
+    assert [r["refit"] for r in params.orderBy("refit").collect()] == list(range(6))
+    got, whole = by_date(forecasts.garch_forecasts(df, SMALL, params)), by_date(rolled[1].filter("model = 'GJR-GARCH(1,1)-t'"))
+    assert got.keys() == whole.keys()
+    for d, r in got.items():
+        assert r["sigma"] == pytest.approx(whole[d]["sigma"], rel=1e-3)
+
+
 def test_no_look_ahead(spark, series, rolled):
     changed = np.array(series)
     changed[320:] *= 5

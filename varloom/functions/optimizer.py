@@ -18,6 +18,8 @@ class Minimum:
     value: float
     converged: bool
     steps: int
+    #: The estimate of the inverse Hessian at x, for a start nearby.
+    inverse: np.ndarray | None = None
 
 
 def _gradient(f, x, low, high):
@@ -31,30 +33,34 @@ def _gradient(f, x, low, high):
     return (values[: len(x)] - values[len(x) :]) / width
 
 
-def minimise(f: Callable[[np.ndarray], np.ndarray], x0, low, high, steps: int = 400, tol: float = 1e-7) -> Minimum:
+def minimise(f: Callable[[np.ndarray], np.ndarray], x0, low, high, steps: int = 400, tol: float = 1e-7, inverse: np.ndarray | None = None) -> Minimum:
+    """From x0; inverse is an inverse Hessian to start with, such as that of a minimum nearby."""
     low, high = np.asarray(low, float), np.asarray(high, float)
     x = np.clip(np.asarray(x0, float), low, high)
-    value, inverse = float(f(x[None, :])[0]), np.eye(len(x))
+    value, known = float(f(x[None, :])[0]), inverse is not None
+    inverse = inverse.copy() if known else np.eye(len(x))
     g = _gradient(f, x, low, high)
     still = 0
     for step in range(1, steps + 1):
         pinned = ((x <= low) & (g > 0)) | ((x >= high) & (g < 0))
         free = ~pinned
         if not free.any() or np.abs(np.where(free, g, 0.0) * np.minimum(1.0, high - low)).max() < tol:
-            return Minimum(x, value, True, step)
+            return Minimum(x, value, True, step, inverse)
         move = np.zeros_like(x)
         move[free] = -inverse[np.ix_(free, free)] @ g[free]
         if move @ g >= 0:
             inverse = np.eye(len(x))
             move = np.where(free, -g, 0.0)
-        # Try several lengths in one call; take the longest that decreases enough.
-        lengths = 0.5 ** np.arange(0, 12)
-        tried = np.clip(x + lengths[:, None] * move, low, high)
-        got = f(tried)
-        enough = got <= value + 1e-4 * (tried - x) @ g
+        # The whole step first, then several shorter ones in one call; the best that decreases enough.
+        for lengths in (np.ones(1), 0.5 ** np.arange(1, 12)):
+            tried = np.clip(x + lengths[:, None] * move, low, high)
+            got = f(tried)
+            enough = got <= value + 1e-4 * (tried - x) @ g
+            if enough.any():
+                break
         if not enough.any():
             if np.array_equal(inverse, np.eye(len(x))):
-                return Minimum(x, value, np.abs(np.where(free, g, 0.0)).max() < 1e-3, step)
+                return Minimum(x, value, np.abs(np.where(free, g, 0.0)).max() < 1e-3, step, inverse)
             inverse = np.eye(len(x))
             continue
         i = int(np.flatnonzero(enough)[np.argmin(got[enough])])
@@ -62,12 +68,12 @@ def minimise(f: Callable[[np.ndarray], np.ndarray], x0, low, high, steps: int =
         s, y = after - x, g_after - g
         sy = float(s @ y)
         if sy > 1e-12 * float(np.sqrt((s @ s) * (y @ y))):
-            if step == 1:
+            if step == 1 and not known:
                 inverse *= sy / float(y @ y)
             hy = inverse @ y
             inverse += (1 + y @ hy / sy) * np.outer(s, s) / sy - (np.outer(hy, s) + np.outer(s, hy)) / sy
         still = still + 1 if value - got[i] < 1e-13 * max(1.0, abs(value)) else 0
         x, value, g = after, float(got[i]), g_after
         if still >= 3:
-            return Minimum(x, value, True, step)
-    return Minimum(x, value, False, steps)
+            return Minimum(x, value, True, step, inverse)
+    return Minimum(x, value, False, steps, inverse)

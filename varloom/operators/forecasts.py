@@ -1,9 +1,9 @@
 """One-day-ahead VaR and ES forecasts: historical simulation, EWMA, GARCH family, FHS, GARCH-MIDAS.
 
 Forecasts are (symbol, model, date, ret, sigma, var_*, es_*); a day's row uses
-strictly earlier rows only.  Estimation is spread over (series, model, refit)
-rows, each carrying its own slice of the series: work is parallel over refits, not
-over series alone, and no task holds more than one block of days at a time.
+strictly earlier rows only.  Estimation is spread over (series, model, chain of refits)
+rows, each carrying its own slice of the series: work is parallel within a series
+too, and a refit starts from the one before it in its chain.
 """
 
 from __future__ import annotations
@@ -150,7 +150,7 @@ def fits(returns: DataFrame, specs=vol.SPECS, errors: bool = True) -> DataFrame:
     """In-sample fits: one row for each series and specification, fitted in parallel."""
     arrays = returns.groupBy("symbol").agg(F.transform(F.sort_array(F.collect_list(F.struct("date", "ret"))), lambda r: r["ret"]).alias("y"))
     rows = arrays.crossJoin(F.broadcast(_spec_rows(returns.sparkSession, specs)))  # series x specifications
-    n = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = _one_thread(returns.sparkSession)
 
     def run(batches):
         for pdf in batches:
@@ -214,51 +214,91 @@ def residuals(fitted: DataFrame) -> DataFrame:
 
 # --- rolling and expanding forecasts ---
 
+#: Refits of one chain: the first starts cold, each other from the one before it.  Chains are parallel.
+CHAIN = 25
+_PARAMS = "symbol string, model string, refit int, date date, params map<string,double>, converged boolean, loglik double"
 
-def _blocks(returns: DataFrame, s: ForecastSettings, start, end, expanding: bool) -> DataFrame:
-    """(symbol, refit, first, window, y, dates): for each refit the days it serves, after the window it is fitted on.
 
-    y holds the window and the block's days, so a row is all that a task needs.
+def _one_thread(spark) -> int:
+    """Tasks for small fits, whose workers use one BLAS thread each, as every core has a task of its own."""
+    spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _chains(df: DataFrame, keys: list[str], s: ForecastSettings, start, end, expanding: bool, more: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, chain, window, dates, y, more): the days that a chain of refits serves, after the window of the first of them.
+
+    A row is all that a task needs; a series is copied once for each chain, not once a refit.
     """
-    arrays = returns.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("date", "ret"))).alias("d"))
-    d = F.col("d")
+    fields = ["date", "ret", *more]
+    arrays = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("d"))
+    d, days = F.col("d"), s.refit_every * CHAIN
     lo = F.lit(s.window) if start is None else F.greatest(F.lit(s.window), F.size(F.filter(d, lambda r: r["date"] < F.lit(start).cast("date"))))
     hi = F.size(d) if end is None else F.size(F.filter(d, lambda r: r["date"] <= F.lit(end).cast("date")))
-    rows = arrays.withColumn("lo", lo).withColumn("hi", hi).filter("hi > lo").withColumn("first", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1, F.lit(s.refit_every))))
+    rows = arrays.withColumn("lo", lo).withColumn("hi", hi).filter("hi > lo").withColumn("first", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1, F.lit(days))))
     begin = F.lit(0) if expanding else F.col("first") - s.window
-    n = F.least(F.lit(s.refit_every), F.col("hi") - F.col("first"))
-    part = F.slice(d, begin + 1, F.col("first") + n - begin)
-    return rows.select("symbol", ((F.col("first") - F.col("lo")) / s.refit_every).cast("int").alias("refit"), (F.col("first") - begin).alias("window"), F.transform(part, lambda r: r["ret"]).alias("y"), F.transform(part, lambda r: r["date"]).alias("dates"))
+    part = F.slice(d, begin + 1, F.col("first") + F.least(F.lit(days), F.col("hi") - F.col("first")) - begin)
+    made = rows.select(*keys, ((F.col("first") - F.col("lo")) / days).cast("int").alias("chain"), (F.col("first") - begin).alias("window"), part.alias("d"))
+    return made.select(*keys, "chain", "window", *(F.col("d")[f].alias({"date": "dates", "ret": "y"}.get(f, f)) for f in fields))
 
 
-def refits(returns: DataFrame, s: ForecastSettings, specs=vol.SPECS, start=None, end=None, expanding: bool = False) -> DataFrame:
-    """(symbol, model, refit, date, params, converged, loglik): one cold-started fit for each block of days.
-
-    A failed fit has the parameters of the last one before it that did not fail.
-    """
-    blocks = _blocks(returns, s, start, end, expanding)
-    rows = blocks.crossJoin(F.broadcast(_spec_rows(returns.sparkSession, specs)))  # refits x specifications: the work list
-    n = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _refitted(chains: DataFrame, s: ForecastSettings, specs, expanding: bool, profiled: bool = True) -> DataFrame:
+    """The refits of chains, which have symbol and, if one specification serves several models, model."""
+    rows = chains.crossJoin(F.broadcast(_spec_rows(chains.sparkSession, specs).withColumnRenamed("model", "spec")))  # chains x specifications: the work list
+    if "model" not in chains.columns:
+        rows = rows.withColumn("model", F.col("spec"))
+    n = _one_thread(chains.sparkSession)
 
     def run(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                try:
-                    f = vol.fit(np.asarray(r.y, float)[: r.window], vol.Spec(bool(r.asymmetric), r.dist), errors=False)
-                    good = all(math.isfinite(v) for v in f.params.values())
-                except (ValueError, np.linalg.LinAlgError):
-                    good = False
-                out.append({"symbol": r.symbol, "model": r.model, "refit": r.refit, "date": r.dates[r.window], "params": f.params if good else None, "converged": bool(good and f.converged), "loglik": f.loglik if good else None})
+                spec, y = vol.Spec(bool(r.asymmetric), r.dist, int(r.lags)), np.asarray(r.y, float)
+                x = np.stack(r.x).astype(float) if spec.lags else None
+                last = None
+                for k, at in enumerate(range(r.window, len(y), s.refit_every)):
+                    lo = 0 if expanding else at - r.window
+                    try:
+                        f = vol.fit(y[lo:at], spec, None if x is None else x[lo:at], warm=last, errors=False, profiled=profiled)
+                        good = all(math.isfinite(v) for v in f.params.values())
+                    except (ValueError, np.linalg.LinAlgError):
+                        good = False
+                    out.append({"symbol": r.symbol, "model": r.model, "refit": r.chain * CHAIN + k, "date": r.dates[at], "params": f.params if good else None, "converged": bool(good and f.converged), "loglik": f.loglik if good else None})
+                    last = f if good else last
             if out:
                 yield pd.DataFrame(out)
 
-    fitted = rows.repartition(n, "symbol", "model", "refit").mapInPandas(run, "symbol string, model string, refit int, date date, params map<string,double>, converged boolean, loglik double")
+    fitted = rows.repartition(n, "symbol", "model", "chain").mapInPandas(run, _PARAMS)
     w = Window.partitionBy("symbol", "model").orderBy("refit").rowsBetween(Window.unboundedPreceding, 0)
     kept = F.last("params", ignorenulls=True).over(w)
     return fitted.withColumn("params", F.coalesce(kept, F.raise_error(F.concat(F.lit("the first fit failed: "), F.col("model"))).cast("map<string,double>")))
 
 
+def refits(returns: DataFrame, s: ForecastSettings, specs=vol.SPECS, start=None, end=None, expanding: bool = False) -> DataFrame:
+    """(symbol, model, refit, date, params, converged, loglik): one fit for each block of refit_every days.
+
+    A failed fit has the parameters of the last one before it that did not fail.
+    """
+    return _refitted(_chains(returns, ["symbol"], s, start, end, expanding), s, specs, expanding)
+
+
+def _with_params(chains: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
+    """chains and, for each of their models, params: refit within the chain -> parameters."""
+    at = F.col("refit")
+    by_chain = params.groupBy("symbol", "model", (at / CHAIN).cast("int").alias("chain")).agg(F.map_from_entries(F.collect_list(F.struct(at % CHAIN, "params"))).alias("params"))
+    return chains.join(by_chain, keys)
+
+
+def _risks(s: ForecastSettings, mu: float, sigma: float, q: dict, es: dict) -> dict:
+    return {f"var_{level_name(v)}": -(mu + sigma * q[v]) for v in s.var_levels} | {f"es_{level_name(v)}": -(mu + sigma * es[v]) for v in s.es_levels}
+
+
+def _tails(spec: vol.Spec, p: dict, s: ForecastSettings) -> tuple[dict, dict]:
+    """Quantiles and tail means of the standardised shock by level."""
+    got = vol.tails(spec, p, {1 - v for v in (*s.var_levels, *s.es_levels)})
+    return {v: got[1 - v][0] for v in s.var_levels}, {v: got[1 - v][1] for v in s.es_levels}
+
+
 def garch_forecasts(returns: DataFrame, s: ForecastSettings, params: DataFrame, start=None, end=None, expanding: bool = False, fhs: str | None = None) -> DataFrame:
     """Forecasts of each block's days under its refit's parameters (from :func:`refits`).
 
@@ -266,78 +306,66 @@ def garch_forecasts(returns: DataFrame, s: ForecastSettings, params: DataFrame,
     simulation (model FHS-GJR): its window's standardised residuals in place of a
     distribution.
     """
-    blocks = _blocks(returns, s, start, end, expanding).join(params.select("symbol", "model", "refit", "params"), ["symbol", "refit"])
+    rows = _with_params(_chains(returns, ["symbol"], s, start, end, expanding), params, ["symbol", "chain"])
     columns = _columns(s)
     by_name = {x.name: x for x in vol.SPECS}
+    n = _one_thread(returns.sparkSession)
 
     def run(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                spec, p, y = by_name[r.model], dict(r.params), np.asarray(r.y, float)
-                tails = vol.tails(spec, p, {1 - v for v in (*s.var_levels, *s.es_levels)})
-                for i in range(r.window, len(y)):
-                    sample = y[(0 if expanding else i - r.window) : i]
-                    sigma = math.sqrt(vol.next_variance(p, spec, sample))
-                    row = {"symbol": r.symbol, "model": r.model, "date": r.dates[i], "ret": y[i], "sigma": sigma}
-                    row |= {f"var_{level_name(v)}": -(p["mu"] + sigma * tails[1 - v][0]) for v in s.var_levels}
-                    row |= {f"es_{level_name(v)}": -(p["mu"] + sigma * tails[1 - v][1]) for v in s.es_levels}
-                    out.append(row)
-                    if r.model == fhs:
-                        resid, s2, _ = vol.variance_paths(np.array([[p[k] for k in spec.names]]), spec, sample)
-                        z = (resid / np.sqrt(s2))[0]
-                        q = {v: float(np.quantile(z, 1 - v)) for v in (*s.var_levels, *s.es_levels)}
-                        own = {"model": "FHS-GJR"} | {f"var_{level_name(v)}": -(p["mu"] + sigma * q[v]) for v in s.var_levels}
-                        out.append(row | own | {f"es_{level_name(v)}": -(p["mu"] + sigma * z[z <= q[v]].mean()) for v in s.es_levels})
+                spec, y = by_name[r.model], np.asarray(r.y, float)
+                for k, p in dict(r.params).items():
+                    p = dict(p)
+                    q, es = _tails(spec, p, s)
+                    first = r.window + k * s.refit_every
+                    days = range(first, min(first + s.refit_every, len(y)))
+                    # Windows of one length are one batch.
+                    samples = [y[None, :i] for i in days] if expanding else [np.stack([y[i - r.window : i] for i in days])]
+                    paths = [vol.next_variances(p, spec, x) for x in samples]
+                    for i, s2, z in zip(days, np.concatenate([a for a, _ in paths]), (row for _, b in paths for row in b), strict=True):
+                        sigma = math.sqrt(s2)
+                        row = {"symbol": r.symbol, "model": r.model, "date": r.dates[i], "ret": y[i], "sigma": sigma}
+                        out.append(row | _risks(s, p["mu"], sigma, q, es))
+                        if r.model == fhs:
+                            cut = {v: float(np.quantile(z, 1 - v)) for v in (*s.var_levels, *s.es_levels)}
+                            out.append(row | {"model": "FHS-GJR"} | _risks(s, p["mu"], sigma, cut, {v: z[z <= cut[v]].mean() for v in s.es_levels}))
             if out:
                 yield pd.DataFrame(out)[["symbol", "model", "date", "ret", "sigma", *columns]]
 
-    n = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartition(n, "symbol", "model", "refit").mapInPandas(run, _schema(s))
+    return rows.repartition(n, "symbol", "model", "chain").mapInPandas(run, _schema(s))
 
 
 def midas_forecasts(lagged: DataFrame, s: ForecastSettings, n_lags: int, dist: str = "skewt", start=None, end=None, expanding: bool = True, profiled: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(forecasts, params) of GARCH-MIDAS; lagged is (symbol, variable, date, ret, lags).
+    """(forecasts, params) of GARCH-MIDAS, model MIDAS-variable; lagged is (symbol, variable, date, ret, lags).
 
-    A refit starts from the one before it, as its lag-shape profile does, so the
-    refits of one (series, variable) are one task; series and variables are parallel.
+    Within a chain of refits, each and its lag-shape profile start from the one before.
     """
-    columns = _columns(s)
-    spec = vol.Spec(True, dist, n_lags)
+    spec, columns = vol.Spec(True, dist, n_lags), _columns(s)
+    days = lagged.select("symbol", F.concat(F.lit("MIDAS-"), "variable").alias("model"), "date", "ret", F.col("lags").alias("x"))
+    chains = _chains(days, ["symbol", "model"], s, start, end, expanding, ("x",))
+    params = _refitted(chains, s, [spec], expanding, profiled)
+    n = _one_thread(lagged.sparkSession)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date").reset_index(drop=True)
-        y, x = pdf["ret"].to_numpy(float), np.stack(pdf["lags"].to_numpy()).astype(float)
-        days = pd.to_datetime(pdf["date"])
-        first = s.window if start is None else max(s.window, int((days < pd.Timestamp(start)).sum()))
-        last = len(y) if end is None else int((days <= pd.Timestamp(end)).sum())
-        out, p, profile, tails = [], None, None, None
-        for k, i in enumerate(range(first, last)):
-            lo = 0 if expanding else i - s.window
-            row = {"symbol": pdf["symbol"][i], "model": f"MIDAS-{pdf['variable'][i]}", "date": pdf["date"][i], "ret": y[i], "refit": k % s.refit_every == 0, "converged": None, "loglik": None}
-            if row["refit"]:
-                try:
-                    f = vol.fit(y[lo:i], spec, x[lo:i], warm=p, errors=False, profile=profile)
-                    good = all(math.isfinite(v) for v in f.params.values())
-                except (ValueError, np.linalg.LinAlgError):
-                    good = False
-                if good:
-                    p, profile = f.params, f.profile if profiled else None
-                elif p is None:
-                    raise RuntimeError(f"the first {spec.name} fit failed")
-                row |= {"converged": bool(good and f.converged), "loglik": f.loglik if good else None}
-                tails = vol.tails(spec, p, {1 - v for v in (*s.var_levels, *s.es_levels)})
-            sigma = math.sqrt(vol.next_variance(p, spec, y[lo:i], x[lo:i], x[i]))
-            row |= {"sigma": sigma, "params": p}
-            row |= {f"var_{level_name(v)}": -(p["mu"] + sigma * tails[1 - v][0]) for v in s.var_levels}
-            row |= {f"es_{level_name(v)}": -(p["mu"] + sigma * tails[1 - v][1]) for v in s.es_levels}
-            out.append(row)
-        names = ["symbol", "model", "date", "ret", "sigma", *columns, "refit", "converged", "loglik", "params"]
-        return pd.DataFrame(out, columns=names)
-
-    schema = _schema(s) + ", refit boolean, converged boolean, loglik double, params map<string,double>"
-    both = lagged.select("symbol", "variable", "date", "ret", "lags").groupBy("symbol", "variable").applyInPandas(run, schema)
-    return both.select("symbol", "model", "date", "ret", "sigma", *columns), both.filter("refit").select("symbol", "model", "date", "params", "converged", "loglik")
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                y, x = np.asarray(r.y, float), np.stack(r.x).astype(float)
+                for k, p in dict(r.params).items():
+                    p = dict(p)
+                    q, es = _tails(spec, p, s)
+                    first = r.window + k * s.refit_every
+                    for i in range(first, min(first + s.refit_every, len(y))):
+                        lo = 0 if expanding else i - r.window
+                        sigma = math.sqrt(vol.next_variance(p, spec, y[lo:i], x[lo:i], x[i]))
+                        out.append({"symbol": r.symbol, "model": r.model, "date": r.dates[i], "ret": y[i], "sigma": sigma} | _risks(s, p["mu"], sigma, q, es))
+            if out:
+                yield pd.DataFrame(out)[["symbol", "model", "date", "ret", "sigma", *columns]]
+
+    rows = _with_params(chains, params, ["symbol", "model", "chain"]).repartition(n, "symbol", "model", "chain")
+    return rows.mapInPandas(run, _schema(s)), params.select("symbol", "model", "date", "params", "converged", "loglik")
 
 
 def theta_summary(params: DataFrame) -> DataFrame:
