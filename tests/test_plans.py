@@ -245,6 +245,12 @@ def test_pipelines_end_to_end(spark, tmp_path):
     losses = {r["loss"] for r in compared.select("loss").distinct().collect()}
     assert losses == {"VaR 99.0%, tick loss", "VaR 97.5%, tick loss", "VaR and ES 97.5%, FZ0 loss", "variance, QLIKE vs gk_overnight", "variance, QLIKE vs sq_ret", "variance, MSE vs gk_overnight"}
     assert "## Refits" in project.forecast_report("locked_test")
+    project.fit_garch()
+    assert {"## Nested models", "## Residuals: Ljung-Box", "## Chosen"} <= set(project.fit_report().splitlines())
+    assert "## Traffic light" in project.backtest_report("locked_test") and " *" in project.comparison_report("locked_test")
+    f.write.partitionBy("model").parquet(project.path("forecasts", "development"))
+    rejected, lost = project.rejections_and_losses(("forecasts",))
+    assert rejected.count() == 9 and all(a == b for r in lost.collect() for a, b in [r["mean_loss"].split(" -> ")])
 
 
 # --- streams ---

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from varloom.functions import sql
 from varloom.functions import volatility as vol
 from varloom.functions.shocks import quantile, tail_mean
 from varloom.operators import backtests, forecasts, losses, macro, quality, returns, stylized
@@ -204,7 +205,22 @@ def arch_lm_1(spark, sf_dir):
     return rounded(stylized.arch_lm(views.ret_daily(spark, sf_dir), lags=1))
 
 
-@query("arch_lm_5")
+def _orthogonal(lags: int) -> str:
+    """Gram-Schmidt over the centred lags: q{k} is lag k less its projections on the lags before it, y the square."""
+    names = [f"z{k}" for k in range(1, lags + 1)]
+    lagged = ", ".join(f"lag(y, {k}) OVER (ORDER BY date) AS z{k}" for k in range(1, lags + 1))
+    out = [
+        "e AS (SELECT date, pow(ret - (SELECT avg(ret) FROM ret), 2) AS y FROM ret)", f"l AS (SELECT y, {lagged} FROM e)",
+        f"g0 AS (SELECT y - avg(y) OVER () AS y, {', '.join(f'{n} - avg({n}) OVER () AS {n}' for n in names)} FROM l WHERE {names[-1]} IS NOT NULL)",
+    ]
+    for k, n in enumerate(names, 1):
+        rest = "".join(f", {m} - {n} * (sum({m} * {n}) OVER ()) / (sum({n} * {n}) OVER ()) AS {m}" for m in names[k:])
+        out.append(f"g{k} AS (SELECT y{''.join(f', {m}' for m in names[:k])}{rest} FROM g{k - 1})")
+    fit = " + ".join(f"pow(sum(y * {n}), 2) / sum({n} * {n})" for n in names)
+    return ", ".join([*out, f"r AS (SELECT count(*) AS n, count(*) * ({fit}) / sum(y * y) AS lm FROM g{lags})"])
+
+
+@query("arch_lm_5", ctes("px", "ret", more=_orthogonal(5)) + f" SELECT 'ALL' AS symbol, n, round(lm, 6) AS lm, round({CHI('lm', 5)}, 6) AS p_value FROM r")
 def arch_lm_5(spark, sf_dir):
     return rounded(stylized.arch_lm(views.ret_daily(spark, sf_dir), lags=5))
 
@@ -279,6 +295,43 @@ def likelihood_normal_fixed(spark, sf_dir):
     return rounded(forecasts.normal_likelihood(forecasts.gjr_path(views.ret_daily(spark, sf_dir), **GJR), GJR["mu"]))
 
 
+_ROLL = f"""o AS (SELECT date, ret, ret - {GJR['mu']} AS e, row_number() OVER (ORDER BY date) AS n FROM ret),
+d AS (SELECT n, date, ret, {GJR['omega']} + ((n - {SETTINGS.window + 1}) // {SETTINGS.refit_every}) % 3 AS omega FROM o WHERE n > {SETTINGS.window}),
+wm AS (SELECT d.n, avg(o.ret) AS m FROM d JOIN o ON o.n >= d.n - {SETTINGS.window} AND o.n < d.n GROUP BY d.n),
+wb AS (SELECT wm.n, sum(pow(ret - m, 2) * pow(0.94, o.n - wm.n + {SETTINGS.window})) / sum(pow(0.94, o.n - wm.n + {SETTINGS.window})) AS b FROM wm JOIN o ON o.n >= wm.n - {SETTINGS.window} AND o.n < wm.n - {SETTINGS.window} + 75 GROUP BY wm.n),
+pa AS (SELECT d.n, 0::BIGINT AS t, omega, omega + ({GJR['alpha']} + {GJR['gamma']} / 2) * b + {GJR['beta']} * b AS s FROM d JOIN wb USING (n)
+  UNION ALL SELECT pa.n, t + 1, omega, omega + ({GJR['alpha']} + {GJR['gamma']} * (e < 0)::INTEGER) * e * e + {GJR['beta']} * s FROM pa JOIN o ON o.n = pa.n - {SETTINGS.window} + t WHERE t < {SETTINGS.window}),
+zs AS (SELECT pa.n, list(e / sqrt(s)) AS z, quantile_cont(e / sqrt(s), {A99!r}) AS q99, quantile_cont(e / sqrt(s), {A975!r}) AS q975 FROM pa JOIN o ON o.n = pa.n - {SETTINGS.window} + t WHERE t < {SETTINGS.window} GROUP BY pa.n),
+rf AS (SELECT d.*, sqrt(s) AS sigma, q99, q975, list_avg(list_filter(z, lambda x: x <= q975)) AS e975 FROM d JOIN pa USING (n) JOIN zs USING (n) WHERE t = {SETTINGS.window}),
+rw AS (SELECT 'GJR-GARCH(1,1)-normal' AS model, date, ret, sigma, {Q99!r} AS a, {Q975!r} AS b, {E975!r} AS c FROM rf UNION ALL SELECT 'FHS-GJR', date, ret, sigma, q99, q975, e975 FROM rf)"""
+
+
+@query("garch_scheduled_rolling", ctes("px", "ret", more=_ROLL) + f" SELECT 'ALL' AS symbol, model, date, {R('ret', 'sigma')}, round(-({GJR['mu']} + sigma * a), 6) AS var_99, round(-({GJR['mu']} + sigma * b), 6) AS var_97_5, round(-({GJR['mu']} + sigma * c), 6) AS es_97_5 FROM rw")
+def garch_scheduled_rolling(spark, sf_dir):
+    """Rolling forecasts and filtered historical simulation under given parameters, whose omega changes at every refit."""
+    omega = F.lit(GJR["omega"]) + F.col("refit") % 3
+    cells = [x for n in ("mu", "alpha", "gamma", "beta") for x in (F.lit(n), F.lit(GJR[n]))]
+    params = spark.range(1000).select(F.lit("ALL").alias("symbol"), F.lit("GJR-GARCH(1,1)-normal").alias("model"), F.col("id").cast("int").alias("refit")).withColumn("params", F.create_map(*cells, F.lit("omega"), omega))
+    return rounded(forecasts.garch_forecasts(views.ret_daily(spark, sf_dir), SETTINGS, params, fhs="GJR-GARCH(1,1)-normal"))
+
+
+_PERSISTENCE = GJR["alpha"] + GJR["gamma"] / 2 + GJR["beta"]
+_STAT = f"ll AS (SELECT count(*) AS n, sum(-0.5 * (ln(2 * pi()) + e * e / sigma2) - 0.5 * ln(sigma2)) AS l FROM gp)"
+
+
+@query(
+    "fit_statistics_fixed",
+    ctes("px", "ret", more=f"{_GJR}, {_STAT}")
+    + f" SELECT 'ALL' AS symbol, 'GJR' AS model, round(l, 6) AS loglik, n, round(10 - 2 * l, 6) AS aic, round(5 * ln(n) - 2 * l, 6) AS bic, round({_PERSISTENCE!r}::DOUBLE, 6) AS persistence, round(ln(0.5) / ln({_PERSISTENCE!r}), 6) AS half_life, round({GJR["omega"]}::DOUBLE / (1 - {_PERSISTENCE!r}::DOUBLE), 6) AS unconditional_variance FROM ll",
+)
+def fit_statistics_fixed(spark, sf_dir):
+    """Information criteria and persistence of a model with given parameters."""
+    given = F.create_map(*(x for n, v in GJR.items() for x in (F.lit(n), F.lit(v))))
+    likelihood = forecasts.normal_likelihood(forecasts.gjr_path(views.ret_daily(spark, sf_dir), **GJR), GJR["mu"])
+    fitted = likelihood.select("symbol", F.lit("GJR").alias("model"), given.alias("params"), "loglik", F.col("n").alias("n_obs"), F.lit(True).alias("converged"))
+    return rounded(forecasts.fit_statistics(fitted).drop("converged", "n_params").withColumnRenamed("n_obs", "n"))
+
+
 # --- backtests ---
 
 _HITS = "h AS (SELECT model, 0.99::DOUBLE AS level, date, -ret > var_99 AS hit FROM fc UNION ALL SELECT model, 0.975::DOUBLE, date, -ret > var_97_5 FROM fc)"
@@ -390,6 +443,33 @@ def loss_matrix(spark, sf_dir):
     return rounded(wide.select("symbol", "date", "HS-250", F.col(f"`{BENCHMARK}`").alias("EWMA")))
 
 
+_SPLIT = "1999-01-01"
+
+
+@query(
+    "period_ranks",
+    ctes("px", "ret", more=f"{_FC}, {_LOSS}")
+    + f""", pm AS (SELECT date < DATE '{_SPLIT}' AS early, loss, model, avg(value) AS m FROM ls GROUP BY ALL), pk AS (SELECT *, rank() OVER (PARTITION BY early, loss ORDER BY m) AS k FROM pm)
+SELECT 'ALL' AS symbol, loss, model, coalesce(max(k) FILTER (early)::VARCHAR, '-') || ' -> ' || coalesce(max(k) FILTER (NOT early)::VARCHAR, '-') AS "rank" FROM pk GROUP BY loss, model""",
+)
+def period_ranks(spark, sf_dir):
+    """Ranks by mean loss before and after a day, side by side."""
+    every = two_model_losses(spark, sf_dir)
+    before, after = (losses.ranked(every.filter(c)) for c in (F.col("date") < F.lit(_SPLIT).cast("date"), F.col("date") >= F.lit(_SPLIT).cast("date")))
+    return losses.paired(before, after, "rank")
+
+
+@query(
+    "sql_functions",
+    ctes("px", "ret", more=f"{_FC}, {_LOSS}") + " SELECT model, date, " + ", ".join(f"round(max(value) FILTER (loss = '{n}'), 6) AS {c}" for n, c in (("VaR 99.0%, tick loss", "tick"), ("VaR and ES 97.5%, FZ0 loss", "fz0"))) + " FROM ls GROUP BY model, date",
+)
+def sql_functions(spark, sf_dir):
+    """The losses by the functions registered for SQL."""
+    sql.register(spark)
+    made = spark.sql("SELECT model, date, tick_loss(ret, var_99, :a) AS tick, fz0_loss(ret, var_97_5, es_97_5, :b) AS fz0 FROM {f}", args={"a": A99, "b": A975}, f=two_models(spark, sf_dir))
+    return rounded(made)
+
+
 _VL = "vm AS (SELECT 'GJR' AS model, date, ret, sigma2 AS s2 FROM gp), pr AS (SELECT date, ret * ret AS sq FROM ret)"
 
 

@@ -317,10 +317,12 @@ def garch_forecasts(returns: DataFrame, s: ForecastSettings, params: DataFrame,
             for r in pdf.itertuples(index=False):
                 spec, y = by_name[r.model], np.asarray(r.y, float)
                 for k, p in dict(r.params).items():
-                    p = dict(p)
-                    q, es = _tails(spec, p, s)
                     first = r.window + k * s.refit_every
                     days = range(first, min(first + s.refit_every, len(y)))
+                    if not days:
+                        continue  # parameters for days that the series does not have
+                    p = dict(p)
+                    q, es = _tails(spec, p, s)
                     # Windows of one length are one batch.
                     samples = [y[None, :i] for i in days] if expanding else [np.stack([y[i - r.window : i] for i in days])]
                     paths = [vol.next_variances(p, spec, x) for x in samples]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,6 +127,54 @@ class Project:
         f, s = self.read("forecasts", period), self.settings
         return reporting.report(f"Forecasts: {periods.PERIODS[period]}", periods.NOTES[period], [("Models", forecasts.forecast_summary(f, s), "model"), ("Refits", forecasts.refit_summary(self.read("params", period)), "model")])
 
+    def fit_report(self) -> str:
+        """The fitted models side by side, what nested ones gain, and what their residuals still hold."""
+        fitted = self.read("garch_fits.parquet")
+        statistics, rest = forecasts.fit_statistics(fitted), forecasts.residuals(fitted)
+        return reporting.report(
+            "Volatility models",
+            periods.NOTES["development"],
+            [
+                ("Models", statistics, "model"), ("Chosen", forecasts.best(statistics), "symbol"), ("Parameters", forecasts.parameter_table(fitted, [x.name for x in forecasts.vol.SPECS]), "param"),
+                ("t-statistics", forecasts.t_statistics(fitted), "model"), ("Nested models", forecasts.likelihood_ratios(fitted), "restricted"), ("Residuals", stylized.distribution_summary(rest, "x"), "symbol"),
+                ("Residuals: Ljung-Box", stylized.ljung_box(rest, "x"), "symbol"), ("Residuals: ARCH-LM", stylized.arch_lm(rest, "x"), "symbol"),
+            ],
+        )
+
+    def macro_report(self, period: str) -> str:
+        sections = [("Variables", macro.summary(self.macro_monthly()), "variable"), ("Theta", forecasts.theta_summary(self.read("macro_params", period)), "model"), ("Forecasts", forecasts.forecast_summary(self.read("macro_forecasts", period), self.settings), "model")]
+        return reporting.report(f"Macro models: {periods.PERIODS[period]}", periods.NOTES[period], sections)
+
+    def backtest_report(self, period: str, name: str = "forecasts") -> str:
+        f = self.read(name, period)
+        var, es, verdicts = self.backtests(f)
+        lights = backtests.traffic_light(backtests.hits(f, self.settings.var_levels))
+        sections = [("VaR", var, "model"), ("ES", es, "model"), ("Traffic light", lights, "model"), ("Verdicts", verdicts, "model"), ("Rejections", backtests.rejections(verdicts), "model")]
+        return reporting.report(f"Backtests: {periods.PERIODS[period]}", periods.NOTES[period], sections)
+
+    def comparison_report(self, period: str, name: str = "forecasts") -> str:
+        compared = self.compare(self.read(name, period)).cache()
+        try:
+            names = sorted(r["loss"] for r in compared.select("loss").distinct().collect())
+            benchmark = config.ComparisonSettings.of(self.cfg).benchmark
+            sections = [("Ranks", losses.rank_matrix(compared, names), "model"), ("Losses", compared, "model"), ("Decision", losses.decision(compared, benchmark).select("symbol", "loss", "model", "verdict"), "model")]
+            return reporting.report(f"Comparison: {periods.PERIODS[period]}", periods.NOTES[period], sections)
+        finally:
+            compared.unpersist()
+
+    def rejections_and_losses(self, names: tuple[str, ...] = ("forecasts", "macro_forecasts")) -> tuple[DataFrame, DataFrame]:
+        """Rejected tests by model and mean losses by model, 'development -> locked test', over several forecast tables."""
+        rejected, lost = [], []
+        for p in periods.PERIODS:
+            made = [self.read(n, p) for n in names]
+            counts = [backtests.rejections(self.backtests(f)[2]).withColumn("table", F.lit(n)) for n, f in zip(names, made, strict=True)]
+            means = [losses.ranked(self.losses(f)).withColumn("table", F.lit(n)).withColumn("mean_loss", F.round("mean_loss", 4)) for n, f in zip(names, made, strict=True)]
+            rejected.append(reduce(DataFrame.unionByName, counts))
+            lost.append(reduce(DataFrame.unionByName, means))
+        by_model = [r.select(F.concat_ws("|", "symbol", "table").alias("symbol"), F.lit("rejections").alias("loss"), "model", "rejections") for r in rejected]
+        by_loss = [r.select(F.concat_ws("|", "symbol", "table").alias("symbol"), "loss", "model", "mean_loss") for r in lost]
+        return losses.paired(*by_model, "rejections").drop("loss"), losses.paired(*by_loss, "mean_loss")
+
     def traffic_light_plot(self, period: str) -> DataFrame:
         """The counts behind the traffic-light figure."""
         return backtests.rolling_exceptions(backtests.hits(self.read("forecasts", period), self.settings.var_levels))
